@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ BLOCK = 1_000_000
 CACHE, PIECE, WORD = 400_000, 2_000_000, 200
 #: shard: place of the task in the order of doc ids; first: ids before the block in its shard.
 COLUMNS = "shard BIGINT, first BIGINT, n_ids BIGINT, image BINARY"
+#: Marks that the library splits from a letter before them.
+MARKS = frozenset(",.!?;:|")
 BLANKS = str.maketrans("\n\t\r", "   ")
 
 
@@ -111,17 +114,35 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.plain: dict[str, bytes] = {}
 
     def width(self) -> int:
         return width_of(self.lib.get_vocab_size())
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not cached.
+
+        Case of ASCII words does not matter to the library, and a mark after a letter is a match of
+        its own, so only the plain forms go through it.
+        """
+        forms = [w.lower() if w.isascii() else w for w in words]
+        cores = [f[:-1] if f[-1] in MARKS and len(f) > 1 and f[-2].isalpha() else f for f in forms]
+        known = self.plain.get
+        new = [c for c in {*cores, *MARKS} if known(c) is None]
+        self.plain.update(zip(new, (array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        got = self.plain.__getitem__
+        out = {w: got(c) if len(c) == len(f) else got(c) + got(f[-1]) for w, f, c in zip(words, forms, cores, strict=True)}
+        if len(self.plain) > CACHE:
+            self.plain = {}
+        return out
+
     def _flush(self, texts: list[list[str]]) -> Iterator[bytes]:
         if len(self.cache) > CACHE:
             self.cache = {"": b""}
         new = [w for w in set().union(*texts) if w not in self.cache]
         extra = {}
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self.cache if len(w) <= WORD else extra)[w] = np.array(e.ids, "<u4").tobytes()
+        for w, ids in self._learn(new).items():
+            (self.cache if len(w) <= WORD else extra)[w] = ids
         got = (self.cache | extra if extra else self.cache).__getitem__
         for words in texts:
             yield b"".join(map(got, words))

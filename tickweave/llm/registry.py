@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import byte_bpe, packed_ids, simhash_golay
+from tickweave.llm import byte_bpe, fuzzy_lines, licences, mixing, packed_ids, simhash_golay, site_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,10 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash_near_dedup": _over("documents", simhash_golay.query),
+        "op5_site_quality": lambda spark, d: site_quality.query(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")),
+        "op6_fuzzy_lines": _over("documents", fuzzy_lines.query),
+        "op7_licences": _over("documents", licences.query),
+        "op8_mixing": _over("documents", mixing.query),
         "op9_byte_bpe": _over("documents", byte_bpe.query),
         "op10_packed_ids": _over("documents", packed_ids.query),
     }
