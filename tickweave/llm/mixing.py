@@ -14,7 +14,7 @@ an empty table gives no rows; other columns stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import cut
@@ -51,19 +51,24 @@ def _prepared(docs: DataFrame, source: Column, lang: Column, topic: Column) -> D
 
 
 def rake(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
-    """(m0, m1, m2, factor) of each cell (m0, m1, m2, n)."""
-    total = cells.agg(F.sum("n").alias("total"))
-    targets = {}
+    """(m0, m1, m2, factor) of each cell (m0, m1, m2, n).
+
+    Every step sums weighted cells over one marginal; a cell is a combination of values, so what
+    meets in a task is combinations, never documents.
+    """
+    total = cells.agg(F.sum("n").cast("double").alias("total"))
+    now = cells.crossJoin(F.broadcast(total)).withColumn("factor", F.lit(1.0).cast("double"))
     for m in MARGINS:
-        share = cells.groupBy(m).agg(F.sum("n").alias("s")).withColumn("s", F.pow(F.col("s").cast("double"), F.lit(power)))
-        targets[m] = cut(share.crossJoin(F.broadcast(share.agg(F.sum("s").alias("z")))).crossJoin(F.broadcast(total)).select(m, (F.col("s") / F.col("z") * F.col("total")).alias("target")))
-    now = cells.withColumn("factor", F.lit(1.0).cast("double"))
-    for _ in range(rounds):
+        share = cells.groupBy(m).agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("s"))
+        whole = F.broadcast(share.agg(F.sum("s").alias("z")))
+        now = now.join(share.crossJoin(whole).select(m, (F.col("s") / F.col("z")).alias(f"t_{m}")), m)
+    now = cut(now)
+    for k in range(rounds):
         for m in MARGINS:
-            sums = now.groupBy(m).agg(F.sum(F.col("n") * F.col("factor")).alias("w")).join(targets[m], m)
-            step = sums.select(m, F.when(F.col("w") > 0, F.col("target") / F.col("w")).otherwise(1.0).alias("step"))
-            now = now.join(step, m).withColumn("factor", F.col("factor") * F.col("step")).drop("step")
-        now = cut(now)
+            sums = F.sum(F.col("n") * F.col("factor")).over(Window.partitionBy(m))
+            step = F.when(sums > 0, F.col(f"t_{m}") * F.col("total") / sums).otherwise(1.0)
+            now = now.withColumn("factor", F.col("factor") * step)
+        now = cut(now) if k % 4 == 3 else now
     return now.select(*MARGINS, "factor")
 
 
