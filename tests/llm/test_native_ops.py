@@ -20,7 +20,7 @@ def frame(spark, rows):
 def corpus():
     r = random.Random(11)
     line = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(n))
-    base = [line(n) for n in (6, 12, 40, 40, 90, 130, 300)]
+    base = [line(n) for n in (6, 12, 25, 40, 40, 60, 30)]
     docs = []
     for i in range(60):
         picked = []
