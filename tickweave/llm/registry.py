@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import byte_bpe, cover_tree, fuzzy_lines, licences, mixing, packed_ids, simhash_golay, site_quality
+from tickweave.llm import byte_bpe, cover_tree, fuzzy_lines, licences, mixing, packed_ids, simhash_golay, site_quality, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash_near_dedup": _over("documents", simhash_golay.query),
+        "op3_suffix_dedup": _over("documents", suffix_dedup.query),
         "op4_cover_tree": _over("embeddings", cover_tree.query),
         "op5_site_quality": lambda spark, d: site_quality.query(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")),
         "op6_fuzzy_lines": _over("documents", fuzzy_lines.query),
