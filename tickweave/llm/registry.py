@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import byte_bpe, cover_tree, fuzzy_lines, licences, mixing, packed_ids, simhash_golay, site_quality, suffix_dedup
+from tickweave.llm import byte_bpe, cover_tree, fuzzy_lines, licences, mixing, packed_ids, simhash_golay, site_quality, suffix_dedup, webp
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_webp": _over("documents", webp.query),
         "op2_simhash_near_dedup": _over("documents", simhash_golay.query),
         "op3_suffix_dedup": _over("documents", suffix_dedup.query),
         "op4_cover_tree": _over("embeddings", cover_tree.query),
