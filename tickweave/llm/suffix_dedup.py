@@ -394,13 +394,15 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every document."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flow = text.filter("doc_id IS NOT NULL").mapInArrow(_scan(buckets), FLOW)
+    named = text.filter("doc_id IS NOT NULL")  # the same rows on both joins below, so their shuffle is written once
+    flow = named.mapInArrow(_scan(buckets), FLOW)
     found = cut(flow.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_group(buckets), FLOW))
     asked = found.filter("kind = 2").groupBy("doc_id").agg(F.collect_list("data").alias("data"))
-    fetched = text.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "data").mapInArrow(_fetch(buckets), FLOW)
+    fetched = named.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "data").mapInArrow(_fetch(buckets), FLOW)
     more = fetched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(buckets), FLOW)
     hits = found.filter("kind = 1").unionByName(more).groupBy("doc_id").agg(F.collect_list("data").alias("data"))
-    joined = text.join(hits.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "data")
+    joined = named.join(hits.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "data")
+    joined = joined.unionByName(text.filter("doc_id IS NULL").withColumn("data", F.lit(None).cast("array<binary>")))
     schema = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING" + (", kept BINARY" if with_text else "")
     return joined.mapInArrow(_finish(with_text), schema)
 
