@@ -188,3 +188,19 @@ def test_rates_shrink(spark):
     rates = {x.host: x.host_rate for x in site_quality.scores(frame(spark, rows), labels).collect()}
     assert 0.05 < rates["tiny"] and abs(rates["big"] - 0.7) < 0.05 and r
     assert re.match("big|tiny", min(rates, key=rates.get))
+
+
+def test_edit_similarity(spark):
+    r = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = [r.choice(["ab", "b", "cde", "f"]) for _ in range(r.randrange(1, 12))]
+        b = list(a)
+        for _ in range(r.randrange(1, 4)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = r.choice([[], ["b"], ["xyz"]])
+        if a != b and b:
+            pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "a ARRAY<STRING>, b ARRAY<STRING>").select("a", "b", fuzzy_lines.similar(F.col("a"), F.col("b")).alias("x")).collect()
+    want = [edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9 and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) for x, y in ((" ".join(r.a), " ".join(r.b)) for r in got)]
+    assert [x.x for x in got] == want and any(want) and not all(want)
