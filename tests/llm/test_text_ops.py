@@ -159,3 +159,11 @@ def test_pieces_of_long_texts_are_the_same(monkeypatch):
     whole = enc.encode([t])
     monkeypatch.setattr(packed_ids, "PIECE", 50)
     assert enc.encode([t]) == whole
+
+
+def test_words_equal_library_on_odd_characters():
+    enc, r = packed_ids.WordEncoder(P.path("word_bpe_49k.json")), random.Random(1)
+    pool = list("aAbBzZ'sStTrRe.,;:!?|-_0129 \n\t ́İΣσéK²中\x1c\x85​힣")
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(2000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want

@@ -126,7 +126,7 @@ class WordEncoder:
         its own, so only the plain forms go through it.
         """
         forms = [w.lower() if w.isascii() else w for w in words]
-        cores = [f[:-1] if f[-1] in MARKS and len(f) > 1 and f[-2].isalpha() else f for f in forms]
+        cores = [f[:-1] if f[-1] in MARKS and len(f) > 1 and f[-2].lower().isalpha() else f for f in forms]
         known = self.plain.get
         new = [c for c in {*cores, *MARKS} if known(c) is None]
         self.plain.update(zip(new, (array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(new, add_special_tokens=False)), strict=True))
