@@ -204,3 +204,19 @@ def test_edit_similarity(spark):
     got = spark.createDataFrame(pairs, "a ARRAY<STRING>, b ARRAY<STRING>").select("a", "b", fuzzy_lines.similar(F.col("a"), F.col("b")).alias("x")).collect()
     want = [edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9 and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) for x, y in ((" ".join(r.a), " ".join(r.b)) for r in got)]
     assert [x.x for x in got] == want and any(want) and not all(want)
+
+
+def test_counted_simhash_equals_expression(spark):
+    words = [[f"w{(i * 7 + k) % 91}x" for i in range(n)] for k, n in enumerate((5, 6, 40, 127, 128, 1000, 33000))]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    words = [[w.translate(letters) for w in ws] for ws in words]
+    docs = [(k, " ".join(ws)) for k, ws in enumerate(words)] + [(0, " ".join(words[0])), (90, None), (91, ""), (92, "ab\ncd ef")]
+    got = {r.doc_id: r.fp for r in fuzzy_lines.lines_of(spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).collect()}
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id BIGINT, w ARRAY<STRING>")
+    assert got == {r.doc_id: r.fp for r in rows.select("doc_id", fuzzy_lines.simhash(F.col("w")).alias("fp")).collect()}
+
+
+def test_line_words_split_at_every_mark(spark):
+    line = "".join(f"Ab{m}" for m in map(chr, range(128)) if m != "\n") + "É-ß"
+    got = spark.createDataFrame([(line,)], "l STRING").select(fuzzy_lines._words(F.col("l")).alias("w")).first().w
+    assert got == [w for w in line.lower().translate(str.maketrans(fuzzy_lines.MARKS, " " * len(fuzzy_lines.MARKS))).split(" ") if w]
