@@ -220,3 +220,9 @@ def test_line_words_split_at_every_mark(spark):
     line = "".join(f"Ab{m}" for m in map(chr, range(128)) if m != "\n") + "É-ß"
     got = spark.createDataFrame([(line,)], "l STRING").select(fuzzy_lines._words(F.col("l")).alias("w")).first().w
     assert got == [w for w in line.lower().translate(str.maketrans(fuzzy_lines.MARKS, " " * len(fuzzy_lines.MARKS))).split(" ") if w]
+
+
+def test_similar_takes_equal_and_empty_lists(spark):
+    rows = [(["a", "b"], ["a", "b"]), ([], []), (["a"], []), (["abcdefghi", "x"], ["abcdefghi"])]
+    got = [r.x for r in spark.createDataFrame(rows, "a ARRAY<STRING>, b ARRAY<STRING>").coalesce(1).select(fuzzy_lines.similar(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [True, True, False, True]
