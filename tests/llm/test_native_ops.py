@@ -135,6 +135,24 @@ def test_licences(spark):
     assert {x.doc_id: x.licences for x in got} == by_id and by_id[1] == "MIT" and by_id[3] == "Apache-2.0,CC-BY-NC-4.0"
 
 
+def test_required_words_lose_no_match(spark):
+    """Templates with words dropped, doubled and changed: every line that reaches the threshold comes out."""
+    r, docs = random.Random(5), []
+    for t in [t for texts in licences.TEMPLATES.values() for t in texts] * 40:
+        w = t.split()
+        for _ in range(r.randrange(1 + len(w) // 3)):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([[], ["zzz"], [w[k], w[k]], [w[k].upper()]])
+        docs.append((len(docs), " ".join(w), "en", "a"))
+    grams = lambda x: {f"{a} {b}" for w in [x.lower().translate(str.maketrans(licences.MARKS, " " * len(licences.MARKS))).split()] for a, b in zip(w, w[1:], strict=False)}
+    want = set()
+    for d, x, *_ in docs:
+        for kind, texts in licences.TEMPLATES.items():
+            want |= {(d, kind) for t in texts if 2 * len(grams(x) & grams(t)) >= 0.8 * (len(grams(x)) + len(grams(t))) - 1e-12 and grams(x)}
+    got = {(x.doc_id, x.licence) for x in licences.matches(frame(spark, docs)).collect()}
+    assert got == want and 200 < len(want) < 600
+
+
 def test_mixing_meets_targets(spark):
     r = random.Random(2)
     docs = [(i, " ".join(["w"] * r.randrange(1, 30)), r.choice(["en", "de"]), "hot" if r.random() < 0.6 else f"s{r.randrange(3)}") for i in range(600)]

@@ -1,8 +1,9 @@
 """Licence scans with DataFrame functions only: Dice coefficient over word bigrams.
 
 Every line of a text is normalised to words and compared with licence templates: twice the shared distinct bigrams over the sum of both counts. A template is only
-compared when its size lets the coefficient reach the threshold, and a line whose size suits no template
-is not taken apart. A document's row has its best match of each licence kind.
+compared when its size lets the coefficient reach the threshold. As a line must share a certain number of a
+template's bigrams, it must hold one of a few of its words; texts and lines without such a word are not taken
+apart. A document's row has its best match of each licence kind.
 
 Cases: a null or empty text, and one without a match, gives a row with no licences; repeated rows each
 come out; an empty table gives no rows; other columns are ignored.
@@ -10,6 +11,9 @@ come out; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,10 @@ def _words(line: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    """Distinct bigrams; the list is bound as a variable, else every step would split the line again."""
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
+    grams = lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(words), grams), F.lit(0))
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -39,15 +45,36 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def required_words(text: str, threshold: float = THRESHOLD) -> list[str]:
+    """Words of a template, longest first, of which every line that reaches ``threshold`` holds one.
+
+    A match shares at least m * t / (2 - t) of the template's m bigrams, so it cannot miss all
+    bigrams that these words stand in.
+    """
+    grams = [tuple(g.split(" ")) for g in template_bigrams(text)]
+    spare = math.floor(len(grams) * (1 - threshold / (2 - threshold)) + 1e-9)
+    out, met = [], set()
+    for w in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+        if len(met) > spare:
+            break
+        if new := {g for g in grams if w in g} - met:
+            out.append(w)
+            met |= new
+    return out
+
+
 def matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, licence, dice, line): the places that match."""
     grams = [(kind, template_bigrams(t)) for kind, texts in templates.items() for t in texts]
     bounds = [(len(g) * threshold / (2 - threshold), len(g) * (2 - threshold) / threshold) for _, g in grams]
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = base.select("doc_id", F.split("text", "\n").alias("ls"))
+    words = sorted({w for texts in templates.values() for t in texts for w in required_words(t, threshold)})
+    one_of = lambda t: reduce(lambda x, y: x | y, [F.contains(t, F.lit(w)) for w in words], F.lit(False))
+    holds = lambda c: F.exists(F.array(F.lower(c)), one_of)  # noqa: E731  lower case is worked out once
+    lines = base.filter(holds("text")).select("doc_id", F.split("text", "\n").alias("ls"))
     low, high = min(a for a, _ in bounds), max(b for _, b in bounds)
     # A line of n bigrams has over 2n characters; repeated words allow any length above.
-    units = lines.select("doc_id", F.posexplode("ls").alias("line", "unit")).filter(F.length("unit") > 2 * low)
+    units = lines.select("doc_id", F.posexplode("ls").alias("line", "unit")).filter((F.length("unit") > 2 * low) & holds("unit"))
     sized = units.select("doc_id", "line", _bigrams(_words(F.col("unit"))).alias("g")).withColumn("n", F.size("g")).filter(F.col("n").between(low, high))
     tests = []
     for (kind, g), (a, b) in zip(grams, bounds, strict=True):
