@@ -66,7 +66,7 @@ def required_words(text: str, threshold: float = THRESHOLD) -> list[str]:
 def matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, licence, dice, line): the places that match."""
     grams = [(kind, template_bigrams(t)) for kind, texts in templates.items() for t in texts]
-    bounds = [(len(g) * threshold / (2 - threshold), len(g) * (2 - threshold) / threshold) for _, g in grams]
+    bounds = [(len(g) * threshold / (2 - threshold) - 1e-9, len(g) * (2 - threshold) / threshold + 1e-9) for _, g in grams]
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = sorted({w for texts in templates.values() for t in texts for w in required_words(t, threshold)})
     one_of = lambda t: reduce(lambda x, y: x | y, [F.contains(t, F.lit(w)) for w in words], F.lit(False))
