@@ -36,7 +36,21 @@ CACHE, PIECE, WORD = 400_000, 2_000_000, 200
 COLUMNS = "shard BIGINT, first BIGINT, n_ids BIGINT, image BINARY"
 #: Marks that the library splits from a letter before them.
 MARKS = frozenset(",.!?;:|")
-BLANKS = str.maketrans("\n\t\r", "   ")
+#: Letters below this are composed already, and lower case and letter classes agree everywhere.
+PLAIN_LETTERS = "\u0250"
+
+
+def byte_letters() -> str:
+    """The printable character that stands for each byte in byte-level vocabularies.
+
+    Printable Latin-1 bytes stand for themselves; the others take the characters from 256 on, in order.
+    """
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(256, 512))
+    return "".join(chr(b) if b in own else chr(next(other)) for b in range(256))
+
+
+BYTE_LETTERS = byte_letters()
 
 
 def width_of(vocabulary: int) -> int:
@@ -105,69 +119,84 @@ def read_id(block: bytes, i: int) -> int:
     return part >> shift & ((1 << width) - 1)
 
 
-class WordEncoder:
-    """The library's encoding, word by word: its matches and its normalisation never cross a blank."""
+def _byte_level(word: str) -> str | None:
+    """The byte-level form of a word of plain letters, in lower case; None for any other word."""
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word.lower()
+    low = word.lower()
+    if max(word) >= PLAIN_LETTERS or not low.isalpha():
+        return None
+    return low.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+class WordEncoder(dict):
+    """The library's encoding, word by word: its matches and its normalisation never cross a blank.
+
+    Maps a word to its ids, learning those it has not; ``trim`` keeps it bounded.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
+        self.model = self.lib.model
         self.plain: dict[str, bytes] = {}
+        self.marks = {m: self._ids(m) for m in MARKS}
 
     def width(self) -> int:
         return width_of(self.lib.get_vocab_size())
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not cached.
+    def _ids(self, form: str) -> bytes:
+        if (seen := _byte_level(form)) is None:
+            return array("I", self.lib.encode(form, add_special_tokens=False).ids).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
-        Case of ASCII words does not matter to the library, and a mark after a letter is a match of
-        its own, so only the plain forms go through it.
+    def __missing__(self, word: str) -> bytes:
+        """Case of ASCII words does not matter to the library, and a mark after a letter is a match of
+        its own, so words share their plain forms. A form of plain letters is one match that
+        normalisation leaves alone, and goes to the library's model directly.
         """
-        forms = [w.lower() if w.isascii() else w for w in words]
-        cores = [f[:-1] if f[-1] in MARKS and len(f) > 1 and f[-2].lower().isalpha() else f for f in forms]
-        known = self.plain.get
-        new = [c for c in {*cores, *MARKS} if known(c) is None]
-        self.plain.update(zip(new, (array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        got = self.plain.__getitem__
-        out = {w: got(c) if len(c) == len(f) else got(c) + got(f[-1]) for w, f, c in zip(words, forms, cores, strict=True)}
+        form, mark = word.lower() if word.isascii() else word, b""
+        if form[-1] in self.marks and form[-2:-1].lower().isalpha():
+            form, mark = form[:-1], self.marks[form[-1]]
+        if (ids := self.plain.get(form)) is None:
+            ids = self._ids(form)
+            if len(form) <= WORD:
+                self.plain[form] = ids
+        ids += mark
+        if len(word) <= WORD:
+            self[word] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.clear()
+            self[""] = b""
         if len(self.plain) > CACHE:
-            self.plain = {}
-        return out
-
-    def _flush(self, texts: list[list[str]]) -> Iterator[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
-        new = [w for w in set().union(*texts) if w not in self.cache]
-        extra = {}
-        for w, ids in self._learn(new).items():
-            (self.cache if len(w) <= WORD else extra)[w] = ids
-        got = (self.cache | extra if extra else self.cache).__getitem__
-        for words in texts:
-            yield b"".join(map(got, words))
+            self.plain.clear()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian 32-bit."""
-        out, held, size = [], [], 0
+        out, size, got = [], 0, self.__getitem__
         for t in texts:
-            t = (t or "").translate(BLANKS)
-            if len(t) > PIECE:
-                out += self._flush(held)
-                held, size, parts, a = [], 0, [], 0
-                while a < len(t):
-                    b = t.find(" ", a + PIECE)
-                    b = len(t) if b < 0 else b
-                    parts += self._flush([t[a:b].split(" ")])
-                    a = b
-                out.append(b"".join(parts))
-                continue
-            held.append(t.split(" "))
-            size += len(t)
-            if size > PIECE:
-                out += self._flush(held)
-                held, size = [], 0
-        return [*out, *self._flush(held)]
+            t = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            parts, a = [], 0
+            while a < len(t):
+                b = t.find(" ", a + PIECE)
+                b = len(t) if b < 0 else b
+                parts.append(b"".join(map(got, t[a:b].split(" "))))
+                size += b - a
+                a = b
+                if size > PIECE:
+                    self.trim()
+                    size = 0
+            out.append(b"".join(parts))
+        self.trim()
+        return out
 
 
 _words: dict[str, WordEncoder] = {}
