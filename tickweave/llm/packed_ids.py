@@ -31,7 +31,7 @@ from tickweave.llm.common import fresh_path
 MAGIC, HEAD = b"FWBP", struct.Struct("<4sB3xIQ")
 #: Ids after which a block is closed.
 BLOCK = 1_000_000
-CACHE, PIECE, WORD = 400_000, 2_000_000, 200
+CACHE, PIECE, WORD = 700_000, 2_000_000, 200
 #: shard: place of the task in the order of doc ids; first: ids before the block in its shard.
 COLUMNS = "shard BIGINT, first BIGINT, n_ids BIGINT, image BINARY"
 #: Marks that the library splits from a letter before them.
