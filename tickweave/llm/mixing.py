@@ -1,8 +1,11 @@
 """Mixing to target weights with DataFrame functions only: iterative proportional fitting.
 
 Token counts are summed by (source, language, topic) cell. Raking finds one factor per source, per
-language and per topic so that the weighted cells meet the target share of each marginal; a document
-stays with the probability of its cell's factors over the largest product, decided by a hash of its id.
+language and per topic so that the weighted cells meet the target share of each marginal. One scale
+for all factors makes the expected tokens meet a budget: a document stays with the probability
+min(1, scale * its cell's factor), decided by a hash of its id. A cell that reaches 1 is kept whole and
+the others make up for it, so a rare cell does not lower the share that is kept of the rest; what such
+a cell lacks to its target cannot be met without repeating documents.
 Targets are the shares raised to a power below one and made to sum to one, which lifts small groups.
 The topic is a parameter; where a table has none, the text's form stands in (see ``form_topic``).
 
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from tickweave.llm.common import cut
 
 POWER, ROUNDS = 0.7, 12
+#: Share of all tokens to keep where no budget in tokens is given.
+KEEP = 0.5
 MARGINS = ("m0", "m1", "m2")
 
 
@@ -51,7 +56,7 @@ def _prepared(docs: DataFrame, source: Column, lang: Column, topic: Column) -> D
 
 
 def rake(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
-    """(m0, m1, m2, factor) of each cell (m0, m1, m2, n).
+    """(m0, m1, m2, n, factor) of each cell (m0, m1, m2, n).
 
     Every step sums weighted cells over one marginal; a cell is a combination of values, so what
     meets in a task is combinations, never documents.
@@ -69,18 +74,37 @@ def rake(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataFr
             step = F.when(sums > 0, F.col(f"t_{m}") * F.col("total") / sums).otherwise(1.0)
             now = now.withColumn("factor", F.col("factor") * step)
         now = cut(now) if k % 4 == 3 else now
-    return now.select(*MARGINS, "factor")
+    return now.select(*MARGINS, "n", "factor")
 
 
-def probabilities(docs: DataFrame, *, source: Column | None = None, lang: Column | None = None, topic: Column | None = None, power: float = POWER) -> DataFrame:
-    """(doc_id, m0, m1, m2, tokens, probability, kept) of every document."""
+def scale_for(cells: DataFrame, budget: float | None = None) -> float:
+    """The scale at which sum(n * min(1, scale * factor)) over the cells (n, factor) is ``budget``.
+
+    Cells that reach 1 count whole, and the rest is shared out again until no further cell reaches 1.
+    The sum is concave in the scale, so each step stays at or below the answer and whole cells stay whole.
+    """
+    full, scale = -1, 0.0
+    while True:
+        whole = F.col("factor") * F.lit(scale) >= 1
+        part = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0)).cast("double")
+        got = cells.agg(F.count_if(whole).alias("full"), part(whole, F.col("n")).alias("held"), part(~whole, F.col("n") * F.col("factor")).alias("rest"), part(F.lit(True), F.col("n")).alias("total")).first()
+        want = KEEP * got.total if budget is None else budget
+        if want >= got.total or got.rest <= 0:
+            return float("inf")
+        if got.full == full:
+            return scale
+        full, scale = got.full, max(scale, (want - got.held) / got.rest)
+
+
+def probabilities(docs: DataFrame, *, source: Column | None = None, lang: Column | None = None, topic: Column | None = None, power: float = POWER, budget: float | None = None) -> DataFrame:
+    """(doc_id, m0, m1, m2, tokens, probability, kept) of every document; ``budget`` in tokens, KEEP of all by default."""
     source, lang = F.col("source") if source is None else source, F.col("lang") if lang is None else lang
     topic = form_topic(F.coalesce(F.col("text").cast("string"), F.lit(""))) if topic is None else topic
     rows = cut(_prepared(docs, source, lang, topic))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("n")))
-    factors = rake(cells, power)
-    top = F.broadcast(factors.agg(F.max("factor").alias("top")))
-    chance = cut(factors.crossJoin(top).select(*MARGINS, F.round(F.col("factor") / F.col("top"), 9).alias("probability")))
+    factors = cut(rake(cells, power))
+    scale = scale_for(factors, budget)
+    chance = factors.select(*MARGINS, F.round(F.least(F.lit(1.0), F.col("factor") * F.lit(scale)), 9).alias("probability"))
     joined = rows.join(chance, list(MARGINS))
     kept = F.coalesce(uniform(F.col("doc_id")), F.lit(0.0)) < F.col("probability")
     return joined.select("doc_id", *MARGINS, "tokens", "probability", kept.alias("kept"))
