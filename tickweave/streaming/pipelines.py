@@ -45,7 +45,7 @@ class ServingTables:
     Every micro-batch computes stream time over arrival order, seeded with the largest time of the
     batches before, merges the batch's windows into the stored table by arrival, and writes the
     next version; a batch that is run again rewrites the same version. Windows past ``retention``
-    leave the table.
+    leave the stored table, after those that closed in the batch went to the finals.
     """
 
     def __init__(self, spark: SparkSession, path: str, s: Settings = Settings()) -> None:
@@ -77,12 +77,15 @@ class ServingTables:
         merged = (old.drop("final").unionByName(kept) if old is not None else kept).groupBy("instrument_id", "window_start", "window_end")
         merged = merged.agg(F.max_by(F.struct("price", "event_ts", "arrival_seq"), "arrival_seq").alias("t")).select("instrument_id", "window_start", "window_end", "t.*")
         end, last = F.col("window_end"), F.lit(now).cast("timestamp")
-        alive = merged.filter(shift(end, s.retention) > last) if now else merged
-        alive.withColumn("final", (shift(end, s.grace) <= last) if now else F.lit(False)).write.mode("overwrite").parquet(self._version("latest", batch_id))
-        new = self.spark.read.parquet(self._version("latest", batch_id)).filter("final").drop("final")
+        closed = (shift(end, s.grace) <= last) if now else F.lit(False)
+        whole = merged.withColumn("final", closed).persist()
+        (whole.filter(shift(end, s.retention) > last) if now else whole).write.mode("overwrite").parquet(self._version("latest", batch_id))
+        # A window may close and pass retention in one batch, so finals come from all windows.
+        new = whole.filter("final").drop("final")
         if before is not None:
-            new = new.filter(shift(F.col("window_end"), s.grace) > F.lit(before).cast("timestamp"))
+            new = new.filter(shift(end, s.grace) > F.lit(before).cast("timestamp"))
         new.write.mode("overwrite").parquet(self._version("finals", batch_id))
+        whole.unpersist()
         self.batch = batch_id
 
     def start(self, ticks: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
