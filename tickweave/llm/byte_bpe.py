@@ -206,8 +206,11 @@ def _files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, *, digest: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids or the digests of ids and of the decoded bytes)."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, *, digest: bool = False, checked: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids or the digests of ids and of the decoded bytes).
+
+    ``checked`` decodes the ids too and adds ``round_trip``: whether the bytes are those of the text (none for a null).
+    """
     default = _files()
     path, pattern = path or default[0], pattern or default[1]
 
@@ -217,21 +220,25 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 n, first, second = [], [], []
-                for ids in enc.encode_texts(part.column("text").to_pylist()):
+                texts = part.column("text").to_pylist()
+                for text, ids in zip(texts, enc.encode_texts(texts), strict=True):
                     n.append(len(ids) // 4)
                     if digest:
                         first.append(hashlib.sha256(ids).hexdigest())
                         second.append(hashlib.sha256(enc.decode(ids)).hexdigest())
                     else:
                         first.append(ids)
+                        if checked:
+                            second.append(enc.decode(ids) == (text or "").encode())
                 if digest:
                     cols = [pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     lists = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in first], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
+                    flag = {"round_trip": pa.array(second, pa.bool_())} if checked else {}
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), lists, *flag.values()], ["doc_id", "n_tokens", "ids", *flag])
 
-    kind = "ids_sha256 STRING, decoded_sha256 STRING" if digest else "ids ARRAY<INT>"
+    kind = "ids_sha256 STRING, decoded_sha256 STRING" if digest else "ids ARRAY<INT>" + (", round_trip BOOLEAN" if checked else "")
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, f"doc_id BIGINT, n_tokens BIGINT, {kind}")
 
 
