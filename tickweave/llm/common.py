@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table in the shared folder, which is compressed and read by column."""
+    df.write.parquet(path := fresh_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: log2 of the words in a bit map of hashes.
+MAP_WORDS = 20
+
+
+def _slot(h) -> Column:
+    return F.shiftrightunsigned(h, 64 - MAP_WORDS)
+
+
+def _bit(h) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58 - MAP_WORDS).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def marked(hashes: DataFrame) -> DataFrame:
+    """A bit map of 64-bit hashes (the one column) of fixed size: 2^MAP_WORDS rows of 16 bytes at most, at any size of input."""
+    h = hashes.columns[0]
+    return hashes.select(_slot(h).alias("_slot"), _bit(h).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def maybe_in(rows: DataFrame, column: str, bits: DataFrame, both: bool = False):
+    """The rows whose hash ``column`` may be marked in the map: all that are, and few others; with ``both``, the others too.
+
+    A filter before a shuffle that decides nothing by itself: a map that is full lets all rows pass, which
+    costs a larger shuffle and changes no result. What is broadcast has a fixed bound (see ``marked``).
+    """
+    h = rows[column]
+    found = rows.join(F.broadcast(bits), _slot(h) == F.col("_slot"), "left" if both else "inner")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(_bit(h)) != 0, F.lit(False))
+    return (found.filter(hit).select(*rows.columns), found.filter(~hit).select(*rows.columns)) if both else found.filter(hit).select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b); component: its smallest node.
 
