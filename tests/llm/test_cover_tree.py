@@ -30,6 +30,24 @@ def brute(rows):
     return sorted((str(a), links[i], str(least.get(find(i))), a is not None and a == least.get(find(i))) for i, (a, _, _) in enumerate(v))
 
 
+@pytest.mark.parametrize("leaf", [4, 128])
+@pytest.mark.parametrize("shape", ["clusters", "spread", "line", "equal"])
+def test_pairs_of_trees(monkeypatch, shape, leaf):
+    monkeypatch.setattr(cover_tree, "LEAF", leaf)
+    monkeypatch.setattr(cover_tree, "TILE", 50)
+    r = np.random.default_rng(leaf)
+    base = {"clusters": r.normal(size=(25, 8))[r.integers(25, size=700)] + r.normal(size=(700, 8)) * 0.2, "spread": r.normal(size=(400, 40)), "line": np.c_[np.cos(np.arange(600) / 500), np.sin(np.arange(600) / 500)], "equal": np.ones((300, 3))}[shape]
+    x = base / np.sqrt((base * base).sum(axis=1))[:, None]
+    want = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    a, b = join(cover_tree.compare(base, None))
+    assert len(a) == len(want) and {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == set(map(tuple, want.tolist()))
+    a, b = join(cover_tree.compare(base[:200], base[200:]))
+    assert {(p, q + 200) for p, q in zip(a.tolist(), b.tolist(), strict=True)} == {(p, q) for p, q in map(tuple, want.tolist()) if p < 200 <= q}
+    if shape in ("clusters", "line"):
+        assert max(map(len, cover_tree.Tree(x).members[1:])) < len(x)
+
+
 @pytest.mark.parametrize("chunk", [40, 5000])
 def test_equals_brute_force(spark, chunk):
     r = np.random.default_rng(3)
