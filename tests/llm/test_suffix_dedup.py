@@ -70,3 +70,22 @@ def test_suffix_sort():
     got, data = s.sort(at, segment), buf.tobytes()
     want = [p for k in range(9) for p in sorted(at[segment == k].tolist(), key=lambda p: (data[p : p + 100], p))]
     assert got.tolist() == want
+
+
+def test_texts_of_one_id_and_clashing_names(spark):
+    """Different texts of one doc_id are compared like documents; the order among them is that of their hashes."""
+    r = random.Random(3)
+    base = "".join(r.choice("abcdefgh ") for _ in range(400))
+    docs = [(1, base[:150]), (5, base[100:300] + "x" * 30), (5, "y" * 20 + base[100:300]), (5, base[100:300] + "x" * 30), (7, "z" * 3_000_000)]
+    df = spark.createDataFrame([(d, t, 1, "v", 0) for d, t in docs], "doc_id BIGINT, text STRING, ver INT, own STRING, th INT")
+    got = sorted(tuple(x)[:4] for x in sd.query(df).collect())
+    assert got[0] == (1, 150, 0, 0) and got[-1] == (7, 3_000_000, 2_999_999, 1)
+    five = [x for x in got if x[0] == 5]
+    assert len(five) == 3 and sorted(x[2] for x in five) in ([0, 0, 200], [0, 200, 200])
+
+
+def test_texts_are_shuffled_only_where_needed(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(50)], "doc_id BIGINT, text STRING")
+    assert {x.n_removed for x in sd.query(docs).collect()} == {0}
+    plan = sd.query(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") >= 2 and "broadcast" in plan

@@ -16,29 +16,30 @@ task once per batch.
 
 Cases: a null text counts as empty; texts under 100 bytes stay whole; rows without doc_id stay
 whole and are compared with nothing; repeated rows with one doc_id and text are one document and come
-out alike; an empty table gives no rows; other columns are ignored.
+out alike; different texts of one doc_id are documents of their own, in order of their hashes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import cut
+from tickweave.llm.common import cut, marked, maybe_in
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text hashed together; a longer text is a batch of its own.
 TOGETHER = 2_000_000
-BLOCK = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("off", "u1"), ("more", "u1")])
+BLOCK = np.dtype([("h", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("ver", "<u4"), ("lo", "<i4"), ("off", "u1"), ("more", "u1")])
 HIT = np.dtype([("lo", "<i4"), ("hi", "<i4")])
 ASK = np.dtype([("h", "<u8"), ("lo", "<i4"), ("off", "u1"), ("more", "u1")])
-CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("off", "u1"), ("more", "u1")])
+CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("ver", "<u4"), ("lo", "<i4"), ("off", "u1"), ("more", "u1")])
 _rng = np.random.default_rng(20240229)
 #: Random value of each byte and odd base, for two hash families.
 VALUES = _rng.integers(1, 2**64, (2, 256), dtype=np.uint64)
@@ -75,8 +76,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def blocks(docs: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """BLOCK records of the texts, which come in order of their ids, in order of place."""
+def blocks(docs: np.ndarray, vers: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """BLOCK records of the texts, which come in order of their ids and versions, in order of place."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     start = np.cumsum(size) - size
@@ -108,7 +109,7 @@ def blocks(docs: np.ndarray, texts: list[bytes]) -> np.ndarray:
     while empty.any():  # texts of no bytes share a start with the next
         text[empty] += 1
         empty = size[text] == 0
-    out["h"], out["doc"], out["lo"], out["off"], out["more"] = h[a], docs[text], lo - start[text], a - lo, hi - lo
+    out["h"], out["doc"], out["ver"], out["lo"], out["off"], out["more"] = h[a], docs[text], vers[text], lo - start[text], a - lo, hi - lo
     shape = ((a - lo) * 128 + (hi - lo)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     out["f"] = _mix(Prefix(buf, 1).at(lo, hi - lo + LENGTH) ^ shape)
     return out
@@ -121,54 +122,67 @@ def _packed(records: np.ndarray, order: np.ndarray, starts: np.ndarray) -> pa.Ar
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def _by(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    return order, np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+def _by(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, the last one first to count, and where a new value begins in it."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
 
 
-FLOW = "bucket INT, kind INT, doc_id BIGINT, data BINARY"
+FLOW = "bucket INT, kind INT, doc_id BIGINT, ver BIGINT, data BINARY"
 
 
-def _rows(bucket: np.ndarray, kind: int, doc: np.ndarray, data: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), kind, np.int32)), pa.array(doc.astype(np.int64)), data], ["bucket", "kind", "doc_id", "data"])
+def _rows(bucket: np.ndarray, kind: int, data: pa.Array, doc: np.ndarray | None = None, ver: np.ndarray | None = None) -> pa.RecordBatch:
+    none = np.zeros(len(bucket), np.int64)
+    cols = [pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), kind, np.int32)), *(pa.array(none if x is None else x.astype(np.int64)) for x in (doc, ver)), data]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "kind", "doc_id", "ver", "data"])
 
 
-def _hits(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _of_texts(kind: int, x: np.ndarray, rec: np.ndarray) -> pa.RecordBatch:
+    """One row per text with its part of ``rec``; x names the texts."""
+    order, starts = _by(x["ver"], x["doc"])
+    first = x[order[starts]]
+    return _rows(first["doc"] & 0x7FFF, kind, _packed(rec, order, starts), first["doc"], first["ver"])
+
+
+def _hits(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     rec = np.zeros(len(lo), HIT)
     rec["lo"], rec["hi"] = lo, hi
-    order, starts = _by(doc)
-    first = doc[order[starts]]
-    return _rows(first.view(np.uint64) % np.uint64(buckets) if len(first) else np.zeros(0), 1, first, _packed(rec, order, starts))
+    return _of_texts(1, x, rec)
+
+
+def _elsewhere(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x["doc"] != y["doc"]) | (x["ver"] != y["ver"]) | (x["lo"] != y["lo"])
 
 
 def _scan(buckets: int):
-    def flush(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(np.array(ids), kind="stable")
-        found = blocks(np.array(ids, np.int64)[order], [texts[i] for i in order])
+    def flush(ids: list[tuple[int, int]], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        named = np.array([ids[i] for i in order], np.int64).reshape(-1, 2)
+        found = blocks(named[:, 0], named[:, 1], [texts[i] for i in order])
         if not len(found):
             return
         _, first, group = np.unique(found["h"] * np.uint64(0x9E3779B97F4A7C15) ^ found["f"], return_index=True, return_inverse=True)
-        head = found[first[group]]
-        again = (head["doc"] != found["doc"]) | (head["lo"] != found["lo"])
+        again = _elsewhere(found[first[group]], found)
         if again.any():
             x = found[again]
-            yield _hits(x["doc"], x["lo"], x["lo"] + x["more"], buckets)
+            yield _hits(x, x["lo"], x["lo"] + x["more"])
         x = found[first]
         bucket = (x["h"] % np.uint64(buckets)).astype(np.int64)
         order, starts = _by(bucket)
-        yield _rows(bucket[order[starts]], 0, np.zeros(len(starts)), _packed(x, order, starts))
+        yield _rows(bucket[order[starts]], 0, _packed(x, order, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for d, v, t in zip(b.column("doc_id").to_pylist(), b.column("ver").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if t is None or len(t) < LENGTH:
                     continue
                 if size + len(t) > TOGETHER and ids:
                     yield from flush(ids, texts)
                     ids, texts, size = [], [], 0
-                ids.append(d)
+                ids.append((d, v))
                 texts.append(t)
                 size += len(t)
         if ids:
@@ -195,32 +209,29 @@ def _each_bucket(batches: Iterator[pa.RecordBatch], other: list[pa.RecordBatch])
         yield held
 
 
-def _group(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other: list[pa.RecordBatch] = []
-        for held in _each_bucket(batches, other):
-            yield from other
-            other.clear()
-            x = np.frombuffer(b"".join(held), BLOCK)
-            x = x[np.lexsort((x["lo"], x["doc"], x["f"], x["h"]))]
-            new_h = np.r_[True, x["h"][1:] != x["h"][:-1]]
-            new = new_h | np.r_[True, x["f"][1:] != x["f"][:-1]]
-            head = x[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            again = (head["doc"] != x["doc"]) | (head["lo"] != x["lo"])
-            if again.any():
-                y = x[again]
-                yield _hits(y["doc"], y["lo"], y["lo"] + y["more"], buckets)
-            many = np.bincount(np.cumsum(new_h) - 1, new)[np.cumsum(new_h) - 1] > 1
-            y = x[new & many]
-            if len(y):
-                rec = np.zeros(len(y), ASK)
-                for c in ASK.names:
-                    rec[c] = y[c]
-                order, starts = _by(y["doc"])
-                yield _rows(np.zeros(len(starts)), 2, y["doc"][order[starts]], _packed(rec, order, starts))
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal blocks of a bucket: all but the first go; blocks that differ round one anchor are asked for."""
+    other: list[pa.RecordBatch] = []
+    for held in _each_bucket(batches, other):
         yield from other
-
-    return run
+        other.clear()
+        x = np.frombuffer(b"".join(held), BLOCK)
+        x = x[np.lexsort((x["lo"], x["ver"], x["doc"], x["f"], x["h"]))]
+        new_h = np.r_[True, x["h"][1:] != x["h"][:-1]]
+        new = new_h | np.r_[True, x["f"][1:] != x["f"][:-1]]
+        head = x[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        again = _elsewhere(head, x)
+        if again.any():
+            y = x[again]
+            yield _hits(y, y["lo"], y["lo"] + y["more"])
+        many = np.bincount(np.cumsum(new_h) - 1, new)[np.cumsum(new_h) - 1] > 1
+        y = x[new & many]
+        if len(y):
+            rec = np.zeros(len(y), ASK)
+            for c in ASK.names:
+                rec[c] = y[c]
+            yield _of_texts(2, y, rec)
+    yield from other
 
 
 def _fetch(buckets: int):
@@ -229,12 +240,12 @@ def _fetch(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             head, body = [], []
-            for d, t, asked in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("data").to_pylist(), strict=True):
+            for d, v, t, asked in zip(b.column("doc_id").to_pylist(), b.column("ver").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("data").to_pylist(), strict=True):
                 rec = np.frombuffer(b"".join(asked), ASK)
                 c = np.zeros(len(rec), CONTEXT)
                 for name in ASK.names:
                     c[name] = rec[name]
-                c["doc"] = d
+                c["doc"], c["ver"] = d, v
                 head.append(c)
                 body += [t[a : a + m + LENGTH] for a, m in zip(rec["lo"].tolist(), rec["more"].tolist(), strict=True)]
             if not head:
@@ -244,7 +255,7 @@ def _fetch(buckets: int):
             order, starts = _by(bucket)
             ends = [*starts[1:].tolist(), len(order)]
             data = [int(e - s).to_bytes(8, "little") + c[order[s:e]].tobytes() + b"".join(body[i] for i in order[s:e]) for s, e in zip(starts.tolist(), ends, strict=True)]
-            yield _rows(bucket[order[starts]], 2, np.zeros(len(starts)), pa.array(data, pa.binary()))
+            yield _rows(bucket[order[starts]], 2, pa.array(data, pa.binary()))
 
     return run
 
@@ -310,7 +321,7 @@ def repeated_windows(c: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray
     """
     size = c["more"].astype(np.int64) + LENGTH
     start = np.cumsum(size) - size
-    order = np.lexsort((c["lo"], c["doc"]))
+    order = np.lexsort((c["lo"], c["ver"], c["doc"]))
     buf = np.frombuffer(b"".join(body[start[i] : start[i] + size[i]] for i in order.tolist()), np.uint8)
     c, size = c[order], size[order]
     start = np.cumsum(size) - size
@@ -335,28 +346,26 @@ def repeated_windows(c: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray
     near = near[hit]
     near = near[s.equal(done[near - 1], done[near])]
     w, head = owner[done[near]], owner[done[near - 1]]
-    other = (c["doc"][rec[w]] != c["doc"][rec[head]]) | (c["lo"][rec[w]] + t[w] != c["lo"][rec[head]] + t[head])
+    x, y = c[rec[w]], c[rec[head]]
+    other = (x["doc"] != y["doc"]) | (x["ver"] != y["ver"]) | (x["lo"] + t[w] != y["lo"] + t[head])
     w = np.sort(w[other])
     return order[rec[w]], t[w]
 
 
-def _resolve(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _each_bucket(batches, []):
-            heads, bodies = [], []
-            for data in held:
-                n = int.from_bytes(data[:8], "little")
-                heads.append(np.frombuffer(data, CONTEXT, n, 8))
-                bodies.append(data[8 + n * CONTEXT.itemsize :])
-            c = np.concatenate(heads)
-            rec, t = repeated_windows(c, b"".join(bodies))
-            if len(rec):
-                new = np.r_[True, (rec[1:] != rec[:-1]) | (t[1:] != t[:-1] + 1)]
-                last = np.r_[new[1:], True]
-                x = c[rec[new]]
-                yield _hits(x["doc"], x["lo"] + t[new], x["lo"] + t[last], buckets)
-
-    return run
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for held in _each_bucket(batches, []):
+        heads, bodies = [], []
+        for data in held:
+            n = int.from_bytes(data[:8], "little")
+            heads.append(np.frombuffer(data, CONTEXT, n, 8))
+            bodies.append(data[8 + n * CONTEXT.itemsize :])
+        c = np.concatenate(heads)
+        rec, t = repeated_windows(c, b"".join(bodies))
+        if len(rec):
+            new = np.r_[True, (rec[1:] != rec[:-1]) | (t[1:] != t[:-1] + 1)]
+            last = np.r_[new[1:], True]
+            x = c[rec[new]]
+            yield _hits(x, x["lo"] + t[new], x["lo"] + t[last])
 
 
 def cleaned(text: bytes, data: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -390,21 +399,39 @@ def _finish(with_text: bool):
     return run
 
 
+def _versions(text: DataFrame) -> DataFrame:
+    """``text`` with ``ver``: 0, or for ids that come with several texts the rank of the text's hash."""
+    named = text.withColumn("th", F.xxhash64("text")).withColumn("own", F.xxhash64("doc_id"))
+    several = named.groupBy("doc_id", "own").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi").select("own")
+    many, one = maybe_in(named, "own", marked(cut(several)), both=True)
+    seen = many.select("doc_id", "th").distinct()
+    rank = seen.withColumn("ver", F.row_number().over(Window.partitionBy("doc_id").orderBy("th")) - 1)
+    ranked = many.join(rank, ["doc_id", "th"]).select("doc_id", "text", "own", F.col("ver").cast("bigint"))
+    return ranked.unionByName(one.select("doc_id", "text", "own", F.lit(0).cast("bigint").alias("ver")))
+
+
 def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every document."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every document.
+
+    Texts are read again rather than kept: only those that may have a block to fetch or a string to lose
+    are shuffled.
+    """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = text.filter("doc_id IS NOT NULL")  # the same rows on both joins below, so their shuffle is written once
+    key, own = ["doc_id", "ver"], F.xxhash64("doc_id").alias("own")
+    named = _versions(text.filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     flow = named.mapInArrow(_scan(buckets), FLOW)
-    found = cut(flow.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_group(buckets), FLOW))
-    asked = found.filter("kind = 2").groupBy("doc_id").agg(F.collect_list("data").alias("data"))
-    fetched = named.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "data").mapInArrow(_fetch(buckets), FLOW)
-    more = fetched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(buckets), FLOW)
-    hits = found.filter("kind = 1").unionByName(more).groupBy("doc_id").agg(F.collect_list("data").alias("data"))
-    joined = named.join(hits.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "data")
-    joined = joined.unionByName(text.filter("doc_id IS NULL").withColumn("data", F.lit(None).cast("array<binary>")))
+    found = cut(flow.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_group, FLOW))
+    asked = cut(found.filter("kind = 2").groupBy(*key).agg(F.collect_list("data").alias("data")))
+    fetched = maybe_in(named, "own", marked(asked.select(own))).join(asked.hint("shuffle_hash"), key).select(*key, "text", "data").mapInArrow(_fetch(buckets), FLOW)
+    more = fetched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, FLOW)
+    hits = cut(found.filter("kind = 1").unionByName(more).groupBy(*key).agg(F.collect_list("data").alias("data")))
+    inside, outside = maybe_in(named, "own", marked(hits.select(own)), both=True)
+    none = F.lit(None).cast("array<binary>").alias("data")
+    parts = inside.join(hits.hint("shuffle_hash"), key, "left"), outside.withColumn("data", none), text.filter("doc_id IS NULL OR text IS NULL").withColumn("data", none)
     schema = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING" + (", kept BINARY" if with_text else "")
-    return joined.mapInArrow(_finish(with_text), schema)
+    every = reduce(DataFrame.unionByName, [x.select("doc_id", "text", "data") for x in parts])
+    return every.mapInArrow(_finish(with_text), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
