@@ -130,9 +130,8 @@ def test_bpe_long_matches_and_pieces(monkeypatch):
 
 
 def test_packed_equals_library(spark):
-    data = rows()
+    data = [*rows(), (10**6, "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|>, <|endoftext|>.\n<|endof text|>", *rows()[0][2:]), (10**6 + 1, "<|endoftext|>", *rows()[0][2:])]
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     got = packed_ids.query(spark.createDataFrame(data, DOCS)).collect()
     order = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     want, start = [], 0
@@ -154,6 +153,24 @@ def test_packing_round_trip(width):
     assert all(packed_ids.read_id(block, i) == ids[i] for i in (0, 5, 999))
 
 
+def test_ids_by_place(spark, tmp_path, monkeypatch):
+    data = rows()
+    out = str(tmp_path / "packed")
+    packed_ids.write(spark.createDataFrame(data, DOCS).repartition(3), out, P.path("word_bpe_49k.json"), 2)
+    ids = {}
+    for r in packed_ids.index(spark, out).join(spark.read.parquet(out).select("shard", "first", "image"), ["shard", "first"]).collect():
+        at = 0
+        for _, a, x in packed_ids.read_block(r.image):
+            ids |= {r.start + a + k: int(v) for k, v in enumerate(x)}
+            at = a + len(x)
+        assert at == r.n_ids
+    assert sorted(ids) == list(range(len(ids)))
+    for place in (0, len(ids) // 2, len(ids) - 1):
+        assert packed_ids.read_at(spark, out, place) == ids[place]
+    with pytest.raises(IndexError):
+        packed_ids.read_at(spark, out, len(ids))
+
+
 def test_pieces_of_long_texts_are_the_same(monkeypatch):
     enc, t = packed_ids.word_encoder(P.path("word_bpe_49k.json")), words(random.Random(4), 400)
     whole = enc.encode([t])
@@ -163,7 +180,7 @@ def test_pieces_of_long_texts_are_the_same(monkeypatch):
 
 def test_words_equal_library_on_odd_characters():
     enc, r = packed_ids.WordEncoder(P.path("word_bpe_49k.json")), random.Random(1)
-    pool = list("aAbBzZ'sStTrRe.,;:!?|-_0129 \n\t ́İΣσéK²中\x1c\x85​힣")
+    pool = ["<|endoftext|>", "<|"] + list("aAbBzZ'sStTrRe.,;:!?|-_0129 \n\t ́İΣσéK²中\x1c\x85​힣")
     texts = ["".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(2000)]
     want = [np.array(e.ids, "<u4").tobytes() for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
     assert enc.encode(texts) == want

@@ -6,11 +6,12 @@ lives in any store Spark reaches and a task that runs again leaves no half block
     magic "FWBP" | width u8 | 3 zero bytes | n_docs u32 | n_ids u64 | doc ids i64 [n_docs] |
     null flags u8 [n_docs] | lengths u32 [n_docs] | ids, ``width`` bits each, lowest bit first
 
-Width is the fewest bits that hold the vocabulary. Id i of a block starts at bit i * width.
+Width is the fewest bits that hold the vocabulary. Id i of a block starts at bit i * width. ``index`` gives
+the place of every block among all ids, so ``read_at`` finds any id by reading one block.
 
 Cases: a null or empty text holds the end id alone; null doc ids come first, then ascending, equal
 ids in order of their text; repeated rows are stored each; an empty table gives no rows; other
-columns are ignored; long texts are encoded between blanks, piece by piece.
+columns are ignored; the strings of special tokens become these, as the library has it; long texts are encoded between blanks, piece by piece.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ CACHE, PIECE, WORD = 700_000, 2_000_000, 200
 COLUMNS = "shard BIGINT, first BIGINT, n_ids BIGINT, image BINARY"
 #: Marks that the library splits from a letter before them.
 MARKS = frozenset(",.!?;:|")
+#: What every special token begins with.
+SPECIAL = "<|"
 #: Letters below this are composed already, and lower case and letter classes agree everywhere.
 PLAIN_LETTERS = "\u0250"
 
@@ -142,7 +145,6 @@ class WordEncoder(dict):
 
         super().__init__({"": b""})
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.model = self.lib.model
         self.plain: dict[str, bytes] = {}
         self.marks = {m: self._ids(m) for m in MARKS}
@@ -160,8 +162,10 @@ class WordEncoder(dict):
         its own, so words share their plain forms. A form of plain letters is one match that
         normalisation leaves alone, and goes to the library's model directly.
         """
-        form, mark = word.lower() if word.isascii() else word, b""
-        if form[-1] in self.marks and form[-2:-1].lower().isalpha():
+        form, mark = word.lower() if word.isascii() and SPECIAL not in word else word, b""
+        if SPECIAL in word:  # may hold a special token, which the library finds in the text as it stands
+            pass
+        elif form[-1] in self.marks and form[-2:-1].lower().isalpha():
             form, mark = form[:-1], self.marks[form[-1]]
         if (ids := self.plain.get(form)) is None:
             ids = self._ids(form)
@@ -237,6 +241,29 @@ def write(docs: DataFrame, out: str, path: str, end_id: int) -> None:
     ordered.mapInArrow(run, COLUMNS).write.parquet(out)
 
 
+def _placed(spark, out: str) -> DataFrame:
+    """The blocks with ``start``, the ids of all blocks before."""
+    blocks = spark.read.schema(COLUMNS).parquet(out)
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    placed = blocks.join(F.broadcast(shards), "shard")  # a row per shuffle partition, so its size is a setting's
+    return placed.withColumn("start", F.col("_before") + F.col("first"))
+
+
+def index(spark, out: str) -> DataFrame:
+    """(start, n_ids, shard, first) of every block; its ids stand at start, start + 1, ... among all. Reads no image."""
+    return _placed(spark, out).select("start", "n_ids", "shard", "first")
+
+
+def read_at(spark, out: str, place: int) -> int:
+    """The id at a place among those of all documents, from the one block that holds it."""
+    found = index(spark, out).filter((F.col("start") <= place) & (place < F.col("start") + F.col("n_ids"))).first()
+    if found is None:
+        raise IndexError(place)
+    block = spark.read.schema(COLUMNS).parquet(out).filter((F.col("shard") == found["shard"]) & (F.col("first") == found["first"]))
+    return read_id(block.select("image").first()["image"], place - found["start"])
+
+
 def read(spark, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every stored document, from the blocks."""
 
@@ -247,11 +274,7 @@ def read(spark, out: str) -> DataFrame:
                 cols = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    blocks = spark.read.schema(COLUMNS).parquet(out)
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    placed = blocks.join(F.broadcast(shards), "shard")  # a row per shuffle partition, so its size is a setting's
-    return placed.select((F.col("_before") + F.col("first")).alias("first"), "image").mapInArrow(run, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
+    return _placed(spark, out).select(F.col("start").alias("first"), "image").mapInArrow(run, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
 
 
 def query(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
