@@ -31,7 +31,16 @@ def latest_windows(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def latest_windows_late(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """As :func:`latest_windows`, with late (row, window) pairs dropped by exact stream time."""
-    kept = W.drop_late(W.hopping(W.with_stream_time(ticks, s), s), s.grace)
+    return latest_reached(W.with_stream_time(ticks, s), s)
+
+
+def latest_reached(timed: DataFrame, s: Settings) -> DataFrame:
+    """Last-arrived tick of each (instrument, window) that took it, from rows with ``stream_time``.
+
+    Rows are reduced to one per (instrument, pane, reach) before they are copied to the windows.
+    """
+    panes = W.with_reach(timed, s, s.grace).groupBy("instrument_id", "pane", "reach").agg(_last(*_TICK))
+    kept = W.reached_windows(panes.select("instrument_id", "pane", "reach", "_t.*"), s)
     return kept.groupBy("instrument_id", "window_start", "window_end").agg(_last(*_TICK)).select("instrument_id", "window_start", "window_end", "_t.*")
 
 
@@ -63,6 +72,12 @@ def latest_list(ticks: DataFrame, instruments: list[str], snap: dt.datetime, s:
     return asked.join(found, "instrument_id", "left").select("position", "instrument_id", *_TICK)
 
 
+def range_of_one(ticks: DataFrame, instrument: str, start: dt.datetime, end: dt.datetime, s: Settings = Settings()) -> DataFrame:
+    """:func:`range_fetch` of :func:`latest_windows`, from the ticks that can stand in those windows alone."""
+    near = ticks.filter((F.col("instrument_id") == instrument) & (F.col("event_ts") >= F.lit(start).cast("timestamp")) & (F.col("event_ts") < shift(F.lit(end).cast("timestamp"), s.window)))
+    return range_fetch(latest_windows(near, s), instrument, start, end)
+
+
 def range_fetch(latest: DataFrame, instrument: str, start: dt.datetime, end: dt.datetime) -> DataFrame:
     """Windows of one instrument whose start lies in [start, end]."""
     return latest.filter((F.col("instrument_id") == instrument) & F.col("window_start").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import shift, sorted_map
 from tickweave.operators import windows as W
-from tickweave.operators.config_index import current_configs, fan_out
-from tickweave.operators.latest import latest_at
+from tickweave.operators.config_index import current_configs, memberships
+from tickweave.operators.latest import latest_at, latest_reached
 from tickweave.settings import Settings
 
 _KEYS = ("set_id", "window_start", "window_end", "instrument_id")
@@ -18,9 +18,28 @@ _KEYS = ("set_id", "window_start", "window_end", "instrument_id")
 
 def simple_rows(ticks: DataFrame, changelog: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Precomputed with grace: stream time runs over the ticks that belong to some set."""
-    spread = fan_out(ticks, changelog)
-    kept = W.drop_late(W.hopping(W.with_stream_time(spread, s), s), s.grace)
-    return kept.groupBy(*_KEYS).agg(F.max_by("price", "arrival_seq").alias("price"))
+    return _to_sets(latest_reached(_set_time(ticks, changelog, s), s), changelog)
+
+
+def _set_time(ticks: DataFrame, changelog: DataFrame, s: Settings) -> DataFrame:
+    """The ticks that belong to some set, with stream time over these alone."""
+    return W.with_stream_time(ticks.join(memberships(changelog).select("instrument_id").distinct(), "instrument_id", "left_semi"), s)
+
+
+def _to_sets(latest: DataFrame, changelog: DataFrame) -> DataFrame:
+    """A row per set that ever listed the instrument; an index row counts once."""
+    index = memberships(changelog).select("instrument_id", "set_id").distinct()
+    return latest.join(index, "instrument_id").select(*_KEYS, "price")
+
+
+def simple_at(ticks: DataFrame, changelog: DataFrame, set_id: str, end: dt.datetime, s: Settings = Settings()) -> DataFrame:
+    """:func:`at_end` of :func:`simple_rows`: stream time over all, windows of the one set and end alone."""
+    own = changelog.filter(F.col("set_id") == set_id)
+    members, last = memberships(own).select("instrument_id").distinct(), F.lit(end).cast("timestamp")
+    inside = (F.col("event_ts") >= shift(last, -s.window)) & (F.col("event_ts") < last) & W.on_grid(last, s.slide)
+    timed = _set_time(ticks, changelog, s).filter(inside & (shift(last, s.grace) > F.col("stream_time"))).join(members, "instrument_id", "left_semi")
+    found = timed.groupBy("instrument_id").agg(F.max_by("price", "arrival_seq").alias("price"))
+    return found.select(F.lit(set_id).alias("set_id"), shift(last, -s.window).alias("window_start"), last.alias("window_end"), "instrument_id", "price")
 
 
 def sharded_rows(ticks: DataFrame, changelog: DataFrame, s: Settings = Settings(), *, by_shard: bool = False) -> DataFrame:
@@ -32,8 +51,7 @@ def sharded_rows(ticks: DataFrame, changelog: DataFrame, s: Settings = Settings(
     )
     latest = W.panes_to_windows(panes.select("instrument_id", "pane", "_t.*"), s)
     latest = latest.groupBy("instrument_id", "window_start", "window_end").agg(F.max_by("price", "arrival_seq").alias("price"))
-    index = fan_out(latest, changelog).dropDuplicates([*_KEYS])
-    return index.select(*_KEYS, "price", *shard).select(*_KEYS, *extra, "price")
+    return _to_sets(latest, changelog).select(*_KEYS, "price", *shard).select(*_KEYS, *extra, "price")
 
 
 def as_maps(rows: DataFrame) -> DataFrame:

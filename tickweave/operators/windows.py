@@ -53,6 +53,27 @@ def with_stream_time(df: DataFrame, s: Settings, partition: str | None = None) -
     return joined.withColumn("stream_time", F.greatest(F.max("event_ts").over(within), F.col("_before"))).select(*df.columns, "stream_time")
 
 
+def with_reach(timed: DataFrame, s: Settings, grace: int) -> DataFrame:
+    """Adds ``pane`` and ``reach``, the number of windows over the pane that still take the row; rows that none takes go.
+
+    The windows over a pane end one slide apart, so those whose grace has not run out in ``stream_time`` are the
+    latest ones: the first ``reach`` of ``panes_to_windows``.
+    """
+    step, seconds = s.slide * 1_000_000, s.window + grace
+    pane = grid_floor(F.col("event_ts"), s.slide)
+    left = F.unix_micros(pane) + F.lit(seconds * 1_000_000) - F.unix_micros("stream_time")
+    reach = F.least(F.ceil(left / F.lit(step)), F.lit(s.panes)).cast("int")
+    return timed.withColumns({"pane": pane, "reach": reach}).filter("reach > 0")
+
+
+def reached_windows(df: DataFrame, s: Settings) -> DataFrame:
+    """Rows with ``pane`` and ``reach`` copied to the windows that take them."""
+    keep = [c for c in df.columns if c not in ("pane", "reach")]
+    start = F.timestamp_seconds(F.unix_seconds("pane") - F.col("_k") * s.slide)
+    spread = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("reach") - 1)))
+    return spread.select(*keep, start.alias("window_start"), shift(start, s.window).alias("window_end"))
+
+
 def drop_late(windowed: DataFrame, grace: int) -> DataFrame:
     """Keeps a (row, window) pair while the window's grace has not run out in stream time."""
     return windowed.filter(shift(F.col("window_end"), grace) > F.col("stream_time"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickweave import schemas
 from tickweave.operators import bars, channels, config_index, extras, latest, snapsets
+from tickweave.operators.windows import grid_floor
 from tickweave.settings import Settings
 from tickweave.sources.ticks import event_configs, event_ticks, table
 
@@ -61,6 +62,12 @@ def _map_rows(df: DataFrame) -> DataFrame:
     return df.select("set_id", F.explode("instruments").alias("instrument_id", "price"))
 
 
+def _first_bar(ticks: DataFrame, size: int) -> DataFrame:
+    """Point read of one bar: that of the user's first tick."""
+    start = ticks.filter(F.col("instrument_id") == USER).agg(F.min("event_ts").alias("t")).select(F.unix_seconds(grid_floor(F.col("t"), size)).alias("t")).first().t
+    return bars.flat(bars.bar_at(ticks, size, dt.datetime.fromtimestamp(start + size, dt.UTC), USER))
+
+
 def queries() -> dict[str, Query]:
     return {
         "a1_latest_windows": _ticks(latest.latest_windows),
@@ -79,16 +86,18 @@ def queries() -> dict[str, Query]:
         "q3_latest_list": _ticks(lambda t: latest.latest_list(t, LISTED, SNAP)),
         "q4_snap_rows": _both(lambda t, c: snapsets.on_demand_rows(t, c, SET, SNAP)),
         "q5_snap_ondemand": _both(lambda t, c: _map_rows(snapsets.on_demand_map(t, c, SET, SNAP))),
-        "q6_snap_simple": _both(lambda t, c: snapsets.at_end(snapsets.simple_rows(t, c), SET, SNAP), late=True),
+        "q6_snap_simple": _both(lambda t, c: snapsets.simple_at(t, c, SET, SNAP), late=True),
         "q7_snap_sharded": _both(lambda t, c: snapsets.direct_rows(t, c, SET, SNAP), late=True),
-        "q7_snap_sharded_start": _both(lambda t, c: snapsets.at_start(snapsets.sharded_rows(t, c), SET, SNAP), late=True),
+        "q7_snap_sharded_start": _both(lambda t, c: snapsets.direct_rows(t, c, SET, SNAP + dt.timedelta(seconds=S.window)), late=True),
         "q8_bar_1m_at": _ticks(lambda t: bars.flat(bars.bars(t, S.bar_short).filter(F.col("window_end").between(F.lit(BAR_END).cast("timestamp") - F.expr("INTERVAL 6 HOURS"), F.lit(BAR_END).cast("timestamp"))))),
         "q9_bar_10m_at": _ticks(lambda t: bars.flat(bars.bars(t, S.bar_long).filter((F.col("instrument_id") == USER)))),
+        "q8_bar_1m_point": _ticks(lambda t: _first_bar(t, S.bar_short)),
+        "q9_bar_10m_point": _ticks(lambda t: _first_bar(t, S.bar_long)),
         "q10_set_keys": _configs(lambda c: _flat_config(c.filter(F.col("set_id") == SET))),
         "q11_inverse_fast": _configs(lambda c: _flat_index(c).filter(F.col("instrument_id") == USER)),
         "q12_inverse_scan": _configs(lambda c: config_index.sets_by_scan(c, USER)),
         "q13_all_configs": _configs(lambda c: _flat_config(c).select(F.lit("config").alias("kind"), "set_id", "instrument_id").unionByName(_flat_index(c).select(F.lit("inverse").alias("kind"), "set_id", "instrument_id"))),
-        "q14_range_fetch": _ticks(lambda t: latest.range_fetch(latest.latest_windows(t), USER, SNAP - dt.timedelta(hours=21), SNAP - dt.timedelta(hours=18))),
+        "q14_range_fetch": _ticks(lambda t: latest.range_of_one(t, USER, SNAP - dt.timedelta(hours=21), SNAP - dt.timedelta(hours=18))),
         "q15_full_scan": _ticks(lambda t: latest.latest_windows(t).orderBy("instrument_id", "window_start").select("instrument_id", "window_start", "price")),
         "c1_individual_push": _channels(lambda t, c, ch, su: channels.individual_push(t, ch, su)),
         "c6_set_push": _channels(lambda t, c, ch, su: channels.set_push(t, c, ch, su).drop("is_new", "snap_end", "wall")),
@@ -175,6 +184,8 @@ def oracle_sql() -> dict[str, str]:
         "q7_snap_sharded_start": f"SELECT * FROM ({sharded}) WHERE set_id = '{SET}' AND window_start = {SNAP_SQL}",
         "q8_bar_1m_at": f"WITH {t}, {timed}, " + _bars(1, f"window_end BETWEEN {SNAP_SQL} - INTERVAL '6 hours' AND {SNAP_SQL}"),
         "q9_bar_10m_at": f"WITH {t}, {timed}, " + _bars(10, f"instrument_id = '{USER}'"),
+        "q8_bar_1m_point": f"WITH {t}, {timed}, " + _bars(1, f"instrument_id = '{USER}' AND event_ts < window_end AND window_start = (SELECT min(window_start) FROM k WHERE instrument_id = '{USER}')"),
+        "q9_bar_10m_point": f"WITH {t}, {timed}, " + _bars(10, f"instrument_id = '{USER}' AND event_ts < window_end AND window_start = (SELECT min(window_start) FROM k WHERE instrument_id = '{USER}')"),
         "q10_set_keys": f"WITH {_CONFIGS} SELECT set_id, position, instrument_id FROM cur_flat WHERE set_id = '{SET}'",
         "q11_inverse_fast": f"WITH {_CONFIGS} SELECT instrument_id, position, set_id FROM inv WHERE instrument_id = '{USER}'",
         "q12_inverse_scan": f"WITH {_CONFIGS} SELECT set_id FROM cur WHERE list_contains(instruments, '{USER}')",

@@ -18,7 +18,7 @@ class Settings:
     retention: int = 72 * 3600
     shards: int = 1
     #: Rows of arrival order handled by one task when stream time is computed.
-    seq_block: int = 1_000_000
+    seq_block: int = 50_000
 
     def __post_init__(self) -> None:
         if self.window % self.slide:
