@@ -235,6 +235,38 @@ def test_quality_cases(spark):
     assert site_quality.query(frame(spark, []), both).count() == 0 and site_quality.query(docs, none.limit(0)).count() == 5
 
 
+def test_posteriors_equal_plain_shrinkage(spark):
+    import math
+
+    r = random.Random(6)
+    rows = [(i, ("GOOD!! " if r.random() < 0.3 else "plain words here ") * r.randrange(1, 6), r.choice(["p", "q", None, ""]), r.choice(["a", "a", "a", "b", None, ""])) for i in range(400)]
+    labels = [(i, int(rows[i][1].startswith("plain")), 0) for i in range(0, 400, 2)]
+    got = site_quality.scores(frame(spark, rows), spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT")).collect()
+    rate = (sum(q for _, q, _ in labels) + 1) / (len(labels) + 2)
+    p = {x.doc_id: 1 / (1 + math.exp(-max(-30, min(30, x.evidence + math.log(rate / (1 - rate)))))) for x in got}
+    assert len({(x.host, x.path) for x in got}) == 16
+    groups = defaultdict(list)
+    for x in got:
+        groups[x.host, x.path].append(p[x.doc_id])
+
+    def weight(parts):
+        n = sum(len(v) for v in parts)
+        g = sum(map(sum, parts)) / n
+        spread = sum(len(v) * (sum(v) / len(v)) ** 2 for v in parts) / n - g * g
+        return min(max(g * (1 - g) / max(spread - len(parts) * g * (1 - g) / n, 1e-6), 1), 1e4), g
+
+    hosts = defaultdict(list)
+    for (h, _), v in groups.items():
+        hosts[h] += v
+    (hw, g), (pw, _) = weight(list(hosts.values())), weight(list(groups.values()))
+    for x in got:
+        host = (sum(hosts[x.host]) + hw * g) / (len(hosts[x.host]) + hw)
+        path = (sum(groups[x.host, x.path]) + pw * host) / (len(groups[x.host, x.path]) + pw)
+        odds = x.evidence + math.log(path / (1 - path))
+        assert (x.host_rate, x.path_rate, x.posterior) == pytest.approx((host, path, 1 / (1 + math.exp(-odds))), abs=1e-9)
+        assert x.keep == (x.posterior >= 0.5)
+
+
 def test_rates_shrink(spark):
     r = random.Random(1)
     rows = [(i, ("GOOD!! " if i % 10 < 3 else "plain words here ") * 5, "p", "big") for i in range(200)] + [(500, "GOOD!! " * 5, "p", "tiny")]

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from tickweave.llm.common import cut
 
-POWER, ROUNDS = 0.7, 12
+POWER, ROUNDS = 0.7, 200
+#: Raking ends when every marginal share is this close to its target; ROUNDS ends it where targets contradict each other.
+RESIDUAL = 1e-6
 #: Share of all tokens to keep where no budget in tokens is given.
 KEEP = 0.5
 MARGINS = ("m0", "m1", "m2")
@@ -55,11 +57,20 @@ def _prepared(docs: DataFrame, source: Column, lang: Column, topic: Column) -> D
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *margins, tokens(text).cast("bigint").alias("tokens"))
 
 
+def _residual(cells: DataFrame) -> float:
+    """The largest distance of a marginal share from its target."""
+    worst = 0.0
+    for m in MARGINS:
+        share = cells.groupBy(m, f"t_{m}").agg(F.sum(F.col("n") * F.col("factor") / F.col("total")).alias("x"), F.sum("n").alias("n")).filter("n > 0")
+        worst = max(worst, share.agg(F.max(F.abs(F.col("x") - F.col(f"t_{m}")))).first()[0] or 0.0)
+    return worst
+
+
 def rake(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
     """(m0, m1, m2, n, factor) of each cell (m0, m1, m2, n).
 
     Every step sums weighted cells over one marginal; a cell is a combination of values, so what
-    meets in a task is combinations, never documents.
+    meets in a task is combinations, never documents. Steps are repeated until the targets are met to RESIDUAL.
     """
     total = cells.agg(F.sum("n").cast("double").alias("total"))
     now = cells.crossJoin(F.broadcast(total)).withColumn("factor", F.lit(1.0).cast("double"))
@@ -73,7 +84,10 @@ def rake(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataFr
             sums = F.sum(F.col("n") * F.col("factor")).over(Window.partitionBy(m))
             step = F.when(sums > 0, F.col(f"t_{m}") * F.col("total") / sums).otherwise(1.0)
             now = now.withColumn("factor", F.col("factor") * step)
-        now = cut(now) if k % 4 == 3 else now
+        if k % 4 == 3 or k == rounds - 1:
+            now = cut(now)
+            if _residual(now) <= RESIDUAL:
+                break
     return now.select(*MARGINS, "n", "factor")
 
 
@@ -104,7 +118,7 @@ def probabilities(docs: DataFrame, *, source: Column | None = None, lang: Column
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("n")))
     factors = cut(rake(cells, power))
     scale = scale_for(factors, budget)
-    chance = factors.select(*MARGINS, F.round(F.least(F.lit(1.0), F.col("factor") * F.lit(scale)), 9).alias("probability"))
+    chance = factors.select(*MARGINS, F.least(F.lit(1.0), F.col("factor") * F.lit(scale)).alias("probability"))
     joined = rows.join(chance, list(MARGINS))
     kept = F.coalesce(uniform(F.col("doc_id")), F.lit(0.0)) < F.col("probability")
     return joined.select("doc_id", *MARGINS, "tokens", "probability", kept.alias("kept"))

@@ -5,7 +5,7 @@ a log-likelihood ratio. Grouped sums of its probabilities give each host and eac
 path is shrunk toward its host and a host toward the global rate by prior weights that the spread
 between groups determines (empirical Bayes). Evidence plus the path's log-odds is the posterior.
 
-Cases: a null or empty text has zero statistics; a null host or path is a group like any other; with
+Cases: a null or empty text has zero statistics; null hosts or paths are a group of their own, apart from empty ones; with
 no usable labels every document gets zero evidence and is kept; repeated rows each come out and each
 count; an empty table gives no rows.
 """
@@ -75,7 +75,8 @@ def _logit(p: Column) -> Column:
 
 
 def _prior_weight(groups: DataFrame, rate: str, n: str) -> DataFrame:
-    """One row: pseudo-counts by the method of moments from the spread of the groups' rates."""
+    """One row: pseudo-counts by the method of moments from the spread of the groups' rates, at least 1 and at most
+    10,000 (groups that differ no more than chance would shrink without end)."""
     g = F.sum(F.col(rate) * F.col(n)) / F.sum(n)
     within = F.count("*") * g * (1 - g) / F.sum(n)
     spread = F.sum(F.col(n) * F.col(rate) * F.col(rate)) / F.sum(n) - g * g
@@ -88,7 +89,11 @@ def scores(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: st
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     stats = cut(plain.mapInArrow(_statistics, "doc_id BIGINT, host STRING, path STRING, x ARRAY<DOUBLE>"))
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = stats.join(known, "doc_id").select("x", "quality", F.xxhash64("doc_id").alias("_o")).orderBy("_o").limit(fit_rows).collect()  # a bounded sample, the same at every run
+    labelled = cut(stats.join(known, "doc_id").select("x", "quality", F.shiftrightunsigned(F.xxhash64("doc_id"), 32).alias("_o")))
+    # A bounded sample, the same at every run: the smallest hashes. The bound on them, a tenth above what is
+    # wanted, keeps what all partitions together send to the driver near ``fit_rows``.
+    bound = int(2**32 * 1.1 * (fit_rows + 100) / max(1, labelled.count()))
+    sample = labelled.filter(F.col("_o") < bound).orderBy("_o").limit(fit_rows).select("x", "quality").collect()
     y = np.array([r.quality for r in sample], float)
     if len(set(y.tolist())) == 2:
         w, prior = fit(np.array([r.x for r in sample]), y)
@@ -97,15 +102,15 @@ def scores(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: st
     terms = [F.lit(float(v)) * F.get("x", F.lit(i)) for i, v in enumerate(w[:-1])]
     logit = sum(terms, F.lit(float(w[-1])))
     clipped = F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))
-    scored = cut(stats.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), (clipped - F.lit(prior)).alias("evidence"), (1 / (1 + F.exp(-clipped))).alias("p")))
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum("p") / F.count("*")).alias("r"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), (F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("hr"))
+    scored = cut(stats.select("doc_id", "host", "path", *(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(k) for c, k in (("host", "hk"), ("path", "pk"))), (clipped - F.lit(prior)).alias("evidence"), (1 / (1 + F.exp(-clipped))).alias("p")))
+    paths = scored.groupBy("hk", "pk").agg(F.count("*").alias("n"), (F.sum("p") / F.count("*")).alias("r"))
+    hosts = paths.groupBy("hk").agg(F.sum("n").alias("hn"), (F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("hr"))
     top = F.broadcast(_prior_weight(hosts, "hr", "hn").select(F.col("weight").alias("hw"), F.col("rate").alias("g")))
     low = F.broadcast(_prior_weight(paths, "r", "n").select(F.col("weight").alias("pw")))
-    hosts = hosts.crossJoin(top).select("host", ((F.col("hn") * F.col("hr") + F.col("hw") * F.col("g")) / (F.col("hn") + F.col("hw"))).alias("host_rate"))
-    rates = paths.join(hosts, "host").crossJoin(low).select("host", "path", "host_rate", ((F.col("n") * F.col("r") + F.col("pw") * F.col("host_rate")) / (F.col("n") + F.col("pw"))).alias("path_rate"))
+    hosts = hosts.crossJoin(top).select("hk", ((F.col("hn") * F.col("hr") + F.col("hw") * F.col("g")) / (F.col("hn") + F.col("hw"))).alias("host_rate"))
+    rates = paths.join(hosts, "hk").crossJoin(low).select("hk", "pk", "host_rate", ((F.col("n") * F.col("r") + F.col("pw") * F.col("host_rate")) / (F.col("n") + F.col("pw"))).alias("path_rate"))
     odds = F.col("evidence") + _logit(F.greatest(F.least("path_rate", F.lit(1 - 1e-6)), F.lit(1e-6)))
-    joined = scored.join(cut(rates), ["host", "path"])
+    joined = scored.join(cut(rates), ["hk", "pk"])
     return joined.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("posterior")).withColumn("keep", F.col("posterior") >= KEEP_AT)
 
 
