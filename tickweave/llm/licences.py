@@ -1,8 +1,10 @@
 """Licence scans with DataFrame functions only: Dice coefficient over word bigrams.
 
-Every line of a text is normalised to words and compared with licence templates: twice the shared distinct bigrams over the sum of both counts. A template is only
-compared when its size lets the coefficient reach the threshold. As a line must share a certain number of a
-template's bigrams, it must hold one of a few of its words; texts and lines without such a word are not taken
+A text is taken apart in pieces, its lines and the sentences in them, and every run of up to RUN pieces that
+follow each other is a unit: a notice may be wrapped over lines or stand inside one. A unit is normalised to
+words and compared with licence templates: twice the shared distinct bigrams over the sum of both counts. A template is only
+compared when its size lets the coefficient reach the threshold. As a unit must share a certain number of a
+template's bigrams, it must hold one of a few of its words; texts and units without such a word are not taken
 apart. A document's row has its best match of each licence kind.
 
 Cases: a null or empty text, and one without a match, gives a row with no licences; repeated rows each
@@ -18,13 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Pieces of a unit at most, and the blanks behind the end of a sentence.
+RUN, BETWEEN = 12, "(?<=[.!?;:]) +"
 #: Notices by which texts commonly state their licence.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "This project is licensed under the MIT License."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "MIT": [
+        "Released under the MIT License.", "This project is licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
 }
 MARKS = "!\"#$%&'()*+,-/:;<=>?@[\\]^_`{|}~\t\r."
 
@@ -64,17 +71,22 @@ def required_words(text: str, threshold: float = THRESHOLD) -> list[str]:
 
 
 def matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, licence, dice, line): the places that match."""
+    """(doc_id, licence, dice, line): the units that match, by the line they begin on."""
     grams = [(kind, template_bigrams(t)) for kind, texts in templates.items() for t in texts]
     bounds = [(len(g) * threshold / (2 - threshold) - 1e-9, len(g) * (2 - threshold) / threshold + 1e-9) for _, g in grams]
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = sorted({w for texts in templates.values() for t in texts for w in required_words(t, threshold)})
     one_of = lambda t: reduce(lambda x, y: x | y, [F.contains(t, F.lit(w)) for w in words], F.lit(False))
     holds = lambda c: F.exists(F.array(F.lower(c)), one_of)  # noqa: E731  lower case is worked out once
-    lines = base.filter(holds("text")).select("doc_id", F.split("text", "\n").alias("ls"))
+    piece = lambda line, i: F.transform(F.split(line, BETWEEN), lambda p: F.struct(i.alias("line"), p.alias("text")))
+    pieces = F.filter(F.flatten(F.transform(F.split("text", "\n"), piece)), lambda p: F.trim(p["text"]) != "")
+    lines = base.filter(holds("text")).select("doc_id", pieces.alias("ps")).filter(F.size("ps") > 0)
     low, high = min(a for a, _ in bounds), max(b for _, b in bounds)
-    # A line of n bigrams has over 2n characters; repeated words allow any length above.
-    units = lines.select("doc_id", F.posexplode("ls").alias("line", "unit")).filter((F.length("unit") > 2 * low) & holds("unit"))
+    run = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("ps") - i)), lambda k: F.slice("ps", i + 1, k))
+    joined = lambda r: F.struct(r[0]["line"].alias("line"), F.array_join(F.transform(r, lambda p: p["text"]), " ").alias("unit"))
+    # A unit of n bigrams has over 2n characters; repeated words allow any length above.
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ps") - 1), lambda i: F.transform(run(i), joined)))
+    units = lines.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.line", "u.unit").filter((F.length("unit") > 2 * low) & holds("unit"))
     sized = units.select("doc_id", "line", _bigrams(_words(F.col("unit"))).alias("g")).withColumn("n", F.size("g")).filter(F.col("n").between(low, high))
     tests = []
     for (kind, g), (a, b) in zip(grams, bounds, strict=True):
