@@ -21,3 +21,18 @@ def test_finals_do_not_depend_on_batches(spark, tmp_path):
             tables.apply(spark.createDataFrame(rows[start:stop], schemas.TICKS), batch)
             start = stop
         assert rowset(tables.finals()) == want
+
+
+def test_restart_and_replay(spark, tmp_path):
+    """Every batch in a process of its own, one of them twice: the same tables, and old versions go."""
+    rows = [("A", 100 * k, str(k), "GBP", B + dt.timedelta(hours=20 * k), k) for k in range(12)]
+    frame = lambda a, b: spark.createDataFrame(rows[a:b], schemas.TICKS)
+    cols = ["instrument_id", "window_start", "price", "arrival_seq"]
+    rowset = lambda df: sorted(map(tuple, df.select(*cols).collect()))
+    path = str(tmp_path / "serve")
+    assert ServingTables(spark, path).latest() is None
+    for batch, (a, b) in ((0, (0, 3)), (1, (3, 6)), (1, (3, 6)), (2, (6, 12))):
+        ServingTables(spark, path).apply(frame(a, b), batch)
+    again = ServingTables(spark, path)
+    assert again.batch == 2 and rowset(again.finals()) == rowset(latest.final_values(frame(0, 12), Settings()))
+    assert again.latest().count() > 0 and sorted(p.name for p in (tmp_path / "serve" / "latest").iterdir()) == ["v1", "v2"]

@@ -55,13 +55,26 @@ def tick_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1) -
     return spark.readStream.schema(schemas.TICKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+#: The value of a record.
+RECORD = "bloomberg_ts_ms BIGINT, price STRING, currency STRING"
+
+
 def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Raw Kafka records with arrival order; needs the connector on the class path."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    parsed = F.from_json(F.col("value").cast("string"), "bloomberg_ts_ms BIGINT, price STRING, currency STRING")
-    return raw.select(
-        F.col("key").cast("string").alias("instrument_id"), parsed.alias("v"), F.col("timestamp").alias("event_ts"), F.col("offset").alias("arrival_seq")
-    ).select("instrument_id", "v.*", "event_ts", "arrival_seq")
+    """Kafka records as ticks; needs the connector on the class path."""
+    return from_records(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load())
+
+
+def from_records(raw: DataFrame) -> DataFrame:
+    """Records as ticks. Offsets order the rows of one ``partition`` only, so stream time is to be kept by partition
+    (``with_stream_time(partition="partition")``); a key's records share a partition, so its last one is well defined."""
+    parsed = F.from_json(F.col("value").cast("string"), RECORD)
+    flat = raw.select(F.col("key").cast("string").alias("instrument_id"), parsed.alias("v"), F.col("timestamp").alias("event_ts"), "partition", F.col("offset").cast("bigint").alias("arrival_seq"))
+    return flat.select("instrument_id", "v.*", "event_ts", "partition", "arrival_seq")
+
+
+def kafka_records(ticks: DataFrame) -> DataFrame:
+    """(key, value) rows for a Kafka sink: ``.write.format("kafka")`` or ``.writeStream.format("kafka")``."""
+    return ticks.select(F.col("instrument_id").alias("key"), F.to_json(F.struct("bloomberg_ts_ms", "price", "currency")).alias("value"))
 
 
 def generated_instruments(spark: SparkSession, n: int = 2000) -> DataFrame:

@@ -50,7 +50,17 @@ class ServingTables:
 
     def __init__(self, spark: SparkSession, path: str, s: Settings = Settings()) -> None:
         self.spark, self.path, self.s = spark, path, s
-        self.batch = -1
+        self.batch = self._found()
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _found(self) -> int:
+        """The last batch that was written whole, by an earlier process too: its finals come last and are committed."""
+        p, fs = self._fs(f"{self.path}/finals")
+        done = [int(x.getPath().getName()[1:]) for x in (fs.listStatus(p) if fs.exists(p) else []) if fs.exists(self._fs(f"{x.getPath()}/_SUCCESS")[0])]
+        return max(done, default=-1)
 
     def _version(self, name: str, batch: int) -> str:
         return f"{self.path}/{name}/v{batch}"
@@ -87,6 +97,9 @@ class ServingTables:
         new.write.mode("overwrite").parquet(self._version("finals", batch_id))
         whole.unpersist()
         self.batch = batch_id
+        for name in ("latest", "time"):  # the version before stays, as a batch that runs again reads it
+            p, fs = self._fs(self._version(name, batch_id - 2))
+            fs.delete(p, True)
 
     def start(self, ticks: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return ticks.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
