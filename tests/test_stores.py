@@ -9,6 +9,7 @@ from tickweave import Settings, schemas
 from tickweave.operators import bars, channels, config_index, latest, snapsets
 from tickweave.sources import sizing
 from tickweave.sources import ticks as sources
+from tickweave.streaming.pipelines import set_latest_stream
 from tickweave.streaming.stores import ROCKSDB, ChannelDelivery, Stores
 
 B = dt.datetime(2019, 2, 1, 7, tzinfo=dt.UTC)
@@ -82,6 +83,16 @@ def test_delivery_as_a_stream_with_rocksdb(spark, tmp_path):
         spark.conf.unset(ROCKSDB[0])
 
 
+def test_set_maps_as_a_stream(spark, tmp_path):
+    for k in (0, 4, 8):
+        ticks(spark, ROWS[k : k + 4], k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    c = spark.createDataFrame([("1", ["AAPL"], B, 1), ("2", ["AAPL", "STARBUCKS"], B, 2)], schemas.CONFIG_CHANGELOG)
+    spread = sources.tick_stream(spark, str(tmp_path / "in")).join(config_index.memberships(c).drop("arrival_seq"), "instrument_id")
+    set_latest_stream(spread).writeStream.format("memory").queryName("maps").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.table("maps").groupBy("set_id", "window_start", "instrument_id").agg(F.max_by("price", "arrival_seq").alias("price"))
+    same(got, snapsets.sharded_rows(ticks(spark, ROWS), c).select(*got.columns))
+
+
 def test_sizes_and_kafka_records(spark, tmp_path):
     rows = sources.generated_ticks(spark, 20_000)
     small = sizing.sizing_ticks(rows)

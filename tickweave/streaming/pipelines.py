@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickweave.functions.scalars import price_key, shift
 from tickweave.operators import windows as W
@@ -122,28 +117,22 @@ class ConfigTables:
 
 
 def set_state_stream(spread: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Stateful per-set fold of (set, tick) rows: every change of a set's window map, no grace.
+    """Every change of a set's window map, no grace: one row per (set, tick) row and window, in append mode.
 
-    State holds the windows of one set younger than the retention; rows are put in arrival order
-    before they are applied.
+    A change needs no state; the maps are these rows folded by arrival, see :func:`set_latest_stream`.
     """
+    return W.hopping(spread, s).select("set_id", "window_start", "instrument_id", "price", "arrival_seq")
+
+
+def set_latest_stream(spread: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The entries of each set's window maps as they change, in update mode: state is one row per (set, window, instrument).
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values("arrival_seq")
-        out = []
-        for x in rows.itertuples():
-            base = int(x.event_ts.timestamp()) // s.slide * s.slide
-            for k in range(s.panes):
-                start = base - k * s.slide
-                held.setdefault(start, {})[x.instrument_id] = x.price
-                out.append((key[0], pd.Timestamp(start, unit="s"), x.instrument_id, x.price, x.arrival_seq))
-            held = {a: m for a, m in held.items() if a + s.retention > base}
-        state.update((pickle.dumps(held),))
-        yield pd.DataFrame(out, columns=["set_id", "window_start", "instrument_id", "price", "arrival_seq"])
-
-    schema = "set_id STRING, window_start TIMESTAMP, instrument_id STRING, price STRING, arrival_seq BIGINT"
-    return spread.groupBy("set_id").applyInPandasWithState(fold, schema, "held BINARY", "append", GroupStateTimeout.NoTimeout)
+    The watermark is the retention, so a window leaves the state that long after its end.
+    """
+    w = F.window("event_ts", f"{s.window} seconds", f"{s.slide} seconds")
+    last = F.max_by(F.struct("price", "arrival_seq"), "arrival_seq").alias("t")
+    out = spread.withWatermark("event_ts", f"{s.retention} seconds").groupBy("set_id", w, "instrument_id").agg(last)
+    return out.select("set_id", F.col("window.start").alias("window_start"), "instrument_id", "t.*")
 
 
 def channel_sink(messages, path: str):
