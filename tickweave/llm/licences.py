@@ -4,8 +4,8 @@ A text is taken apart in pieces, its lines and the sentences in them, and every
 follow each other is a unit: a notice may be wrapped over lines or stand inside one. A unit is normalised to
 words and compared with licence templates: twice the shared distinct bigrams over the sum of both counts. A template is only
 compared when its size lets the coefficient reach the threshold. As a unit must share a certain number of a
-template's bigrams, it must hold one of a few of its words; texts and units without such a word are not taken
-apart. A document's row has its best match of each licence kind.
+template's bigrams, it must hold one of a few of its words; texts without such a word are not taken
+apart, and a run of pieces is only put together if one of them has such a word and the run has no more different words than its template allows. A document's row has its best match of each licence kind.
 
 Cases: a null or empty text, and one without a match, gives a row with no licences; repeated rows each
 come out; an empty table gives no rows; other columns are ignored.
@@ -70,26 +70,44 @@ def required_words(text: str, threshold: float = THRESHOLD) -> list[str]:
     return out
 
 
-def matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, licence, dice, line): the units that match, by the line they begin on."""
+def _bounds(templates: dict[str, list[str]], threshold: float) -> list[tuple[str, list[str], float, float]]:
+    """(licence, bigrams, least and most bigrams of a unit that can match) of every template."""
     grams = [(kind, template_bigrams(t)) for kind, texts in templates.items() for t in texts]
-    bounds = [(len(g) * threshold / (2 - threshold) - 1e-9, len(g) * (2 - threshold) / threshold + 1e-9) for _, g in grams]
+    return [(kind, g, len(g) * threshold / (2 - threshold) - 1e-9, len(g) * (2 - threshold) / threshold + 1e-9) for kind, g in grams]
+
+
+def units(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, line, words): the runs of pieces that may match."""
+    bounds = [(a, b) for _, _, a, b in _bounds(templates, threshold)]
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = sorted({w for texts in templates.values() for t in texts for w in required_words(t, threshold)})
     one_of = lambda t: reduce(lambda x, y: x | y, [F.contains(t, F.lit(w)) for w in words], F.lit(False))
     holds = lambda c: F.exists(F.array(F.lower(c)), one_of)  # noqa: E731  lower case is worked out once
+    needs = [(required_words(t, threshold), b) for (t, (_, b)) in zip([t for texts in templates.values() for t in texts], bounds, strict=True)]
+    top = lambda w: reduce(F.greatest, [F.when(F.arrays_overlap(w, F.array(*map(F.lit, need))), F.lit(b)).otherwise(F.lit(-1.0)) for need, b in needs if need], F.lit(-1.0))
     piece = lambda line, i: F.transform(F.split(line, BETWEEN), lambda p: F.struct(i.alias("line"), p.alias("text")))
-    pieces = F.filter(F.flatten(F.transform(F.split("text", "\n"), piece)), lambda p: F.trim(p["text"]) != "")
+    found = F.filter(F.flatten(F.transform(F.split("text", "\n"), piece)), lambda p: F.trim(p["text"]) != "")
+    worded = F.transform(found, lambda p: F.struct(p["line"].alias("line"), _words(p["text"]).alias("words")))
+    # The most bigrams that a unit may have by the templates of which this piece holds a required word.
+    pieces = F.transform(worded, lambda p: F.struct(p["line"], p["words"], top(p["words"]).alias("most")))
     lines = base.filter(holds("text")).select("doc_id", pieces.alias("ps")).filter(F.size("ps") > 0)
-    low, high = min(a for a, _ in bounds), max(b for _, b in bounds)
+    low = min(a for a, _ in bounds)
     run = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("ps") - i)), lambda k: F.slice("ps", i + 1, k))
-    joined = lambda r: F.struct(r[0]["line"].alias("line"), F.array_join(F.transform(r, lambda p: p["text"]), " ").alias("unit"))
-    # A unit of n bigrams has over 2n characters; repeated words allow any length above.
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ps") - 1), lambda i: F.transform(run(i), joined)))
-    units = lines.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.line", "u.unit").filter((F.length("unit") > 2 * low) & holds("unit"))
-    sized = units.select("doc_id", "line", _bigrams(_words(F.col("unit"))).alias("g")).withColumn("n", F.size("g")).filter(F.col("n").between(low, high))
+    asked = lambda i: F.filter(run(i), lambda r: F.exists(r, lambda p: p["most"] > 0))
+    joined = lambda r: F.struct(r[0]["line"].alias("line"), F.flatten(F.transform(r, lambda p: p["words"])).alias("words"), F.array_max(F.transform(r, lambda p: p["most"])).alias("most"))
+    # Of d different words there are d - 1 different bigrams or more.
+    fits = lambda u: (F.size(u["words"]) > low) & (F.size(F.array_distinct(u["words"])) - 1 <= u["most"])
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ps") - 1), lambda i: F.filter(F.transform(asked(i), joined), fits)))
+    return lines.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.line", "u.words")
+
+
+def matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, licence, dice, line): the units that match, by the line they begin on."""
+    every = _bounds(templates, threshold)
+    low, high = min(a for *_, a, _ in every), max(b for *_, b in every)
+    sized = units(docs, templates, threshold).select("doc_id", "line", _bigrams(F.col("words")).alias("g")).withColumn("n", F.size("g")).filter(F.col("n").between(low, high))
     tests = []
-    for (kind, g), (a, b) in zip(grams, bounds, strict=True):
+    for kind, g, a, b in every:
         shared = F.size(F.array_intersect("g", F.array(*map(F.lit, g))))
         dice = F.when(F.col("n").between(a, b), 2.0 * shared / (F.col("n") + len(g)))
         tests.append(F.struct(F.lit(kind).alias("licence"), dice.alias("dice")))
