@@ -345,3 +345,8 @@ def test_runs_without_a_required_word_are_not_built(spark):
     rows = frame(spark, [(i, text, "en", "a") for i in range(8)])
     assert [x.licences for x in licences.query(rows).collect()] == ["MIT"] * 8
     assert licences.units(rows).count() < 8 * 200
+
+
+def test_required_words_are_not_common_ones():
+    for t in [t for texts in licences.TEMPLATES.values() for t in texts]:
+        assert not {"by", "under"} & set(licences.required_words(t)), t

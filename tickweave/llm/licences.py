@@ -33,6 +33,8 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
 }
+#: Words that most texts hold: required last of all, as they tell texts apart least.
+COMMON = {"a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with"}
 MARKS = "!\"#$%&'()*+,-/:;<=>?@[\\]^_`{|}~\t\r."
 
 
@@ -53,7 +55,7 @@ def template_bigrams(text: str) -> list[str]:
 
 
 def required_words(text: str, threshold: float = THRESHOLD) -> list[str]:
-    """Words of a template, longest first, of which every line that reaches ``threshold`` holds one.
+    """Words of a template, longest first and common ones last, of which every line that reaches ``threshold`` holds one.
 
     A match shares at least m * t / (2 - t) of the template's m bigrams, so it cannot miss all
     bigrams that these words stand in.
@@ -61,7 +63,7 @@ def required_words(text: str, threshold: float = THRESHOLD) -> list[str]:
     grams = [tuple(g.split(" ")) for g in template_bigrams(text)]
     spare = math.floor(len(grams) * (1 - threshold / (2 - threshold)) + 1e-9)
     out, met = [], set()
-    for w in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+    for w in sorted({w for g in grams for w in g}, key=lambda w: (w in COMMON or len(w) < 2, -len(w), w)):
         if len(met) > spare:
             break
         if new := {g for g in grams if w in g} - met:
