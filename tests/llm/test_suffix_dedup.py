@@ -89,3 +89,27 @@ def test_texts_are_shuffled_only_where_needed(spark):
     assert {x.n_removed for x in sd.query(docs).collect()} == {0}
     plan = sd.query(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") >= 2 and "broadcast" in plan
+
+
+def test_only_windows_that_stand_twice_are_sorted(monkeypatch):
+    """Many blocks around one anchor: windows with a hash of their own are not sorted, and the result is that of all pairs."""
+    r = random.Random(6)
+    word = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    anchor, shared = word(32), word(168)
+    texts = [word(68) + anchor + word(68) for _ in range(300)] + [word(30) + shared[:68] + anchor + shared[68:100] + word(38) for _ in range(3)]
+    c = np.zeros(len(texts), sd.CONTEXT)
+    c["doc"], c["off"], c["more"] = np.arange(len(texts)), 68, 68
+    c["off"][300:], c["more"][300:] = 98, 98
+    c["h"] = 5
+    texts[300:] = [t[: 98 + sd.LENGTH] for t in texts[300:]]
+    sizes, sort = [], sd.Suffixes.sort
+    monkeypatch.setattr(sd.Suffixes, "sort", lambda self, at, segment: (sizes.append(len(at)), sort(self, at, segment))[1])
+    rec, t = sd.repeated_windows(c, b"".join(texts))
+    seen, want = set(), []
+    for k, x in enumerate(texts):
+        for i in range(int(c["more"][k]) + 1):
+            s = x[i : i + sd.LENGTH]
+            want += [(k, i)] if s in seen else []
+            seen.add(s)
+    assert want and sorted(zip(rec.tolist(), t.tolist(), strict=True)) == want
+    assert sum(sizes) < 3 * len(want) < 300

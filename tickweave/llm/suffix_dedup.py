@@ -7,7 +7,7 @@ equal anchors at the same place, so only occurrences of repeated anchors need co
 1. each text is cut in blocks, the runs of windows that share an anchor; blocks are grouped by anchor
    and content (two independent 64-bit polynomial hashes). All but the first of equal blocks go whole;
 2. where an anchor has differing blocks, their first occurrences are fetched, and their windows are sorted
-   as suffixes: a merge sort whose comparisons find the common extension of two suffixes by binary
+   as suffixes (but those whose hash stands once, which equal no other): a merge sort whose comparisons find the common extension of two suffixes by binary
    search over prefix polynomial hashes. Equal neighbours are verified byte by byte; all but the first go;
 3. the windows found are joined to the texts, which lose the bytes that any of them covers.
 
@@ -267,11 +267,15 @@ class Suffixes:
         self.buf, self.prefix = buf, Prefix(buf, 0)
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
+        low = np.full(len(a), LENGTH)
+        apart = np.flatnonzero(self.prefix.at(a, LENGTH) != self.prefix.at(b, LENGTH))
+        a, b = a[apart], b[apart]
+        least, most = np.zeros(len(apart), np.int64), np.full(len(apart), LENGTH - 1)
+        while (least < most).any():
+            mid = (least + most + 1) // 2
             same = self.prefix.at(a, mid) == self.prefix.at(b, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+            least, most = np.where(same, mid, least), np.where(same, most, mid - 1)
+        low[apart] = least
         return low
 
     def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -313,6 +317,15 @@ class Suffixes:
         return out
 
 
+def _met(hashes: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places whose key and hash stand elsewhere too, by key; the others equal no string, so the sort can do without them."""
+    both = _mix(hashes) ^ key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    by = np.argsort(both)
+    new = np.r_[True, both[by[1:]] != both[by[:-1]], True]
+    by = np.sort(by[~(new[:-1] & new[1:])])
+    return by[np.argsort(key[by], kind="stable")]
+
+
 def repeated_windows(c: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(record, window of the record) of the windows that an earlier record has too.
 
@@ -330,13 +343,11 @@ def repeated_windows(c: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray
     t = np.arange(len(rec)) - np.repeat(np.cumsum(count) - count, count)
     group = np.unique(c["h"], return_inverse=True)[1]
     key = group[rec] * 128 + (c["off"][rec].astype(np.int64) - t)
-    by = np.argsort(key, kind="stable")
-    k = key[by]
-    alone = np.r_[True, k[1:] != k[:-1]] & np.r_[k[1:] != k[:-1], True]
-    by, k = by[~alone], k[~alone]
+    s, place = Suffixes(buf), start[rec] + t
+    by = _met(s.prefix.at(place, LENGTH), key)
     if not len(by):
         return order[:0], t[:0]
-    s, at = Suffixes(buf), start[rec[by]] + t[by]
+    k, at = key[by], place[by]
     owner = np.zeros(len(buf), np.int64)
     owner[at] = by
     done = s.sort(at, k)
