@@ -212,3 +212,50 @@ def test_stored_streams_hold_back_references():
         for a, n, d in zip(start.tolist(), length.tolist(), far.tolist(), strict=True):
             assert all(p[k] == p[k - d] for k in range(a, a + n))
     assert len(media[2]) < len(media[5]) / 4
+
+
+def parts_of(image):
+    """Transforms and colour-cache bits of a stored image."""
+    b, width, height = webp.open_stream(image)
+    kinds = []
+    while b.read(1):
+        kinds.append(b.read(2))
+        if kinds[-1] == webp.PREDICTOR:
+            bits = b.read(3) + 2
+            webp._pixels(b, (width + (1 << bits) - 1) >> bits, (height + (1 << bits) - 1) >> bits, False)
+        elif kinds[-1] == webp.PALETTE:
+            webp._pixels(b, b.read(8) + 1, 1, False)
+    return kinds, b.read(4) if b.read(1) else 0
+
+
+def test_store_writes_every_part_that_helps():
+    """Palette, predictor and colour cache stand in stored streams where they make them shorter, and are read back."""
+    r = np.random.default_rng(8)
+    rows, cols = np.indices((40, 192))
+    smooth = ((np.sin(rows / 9) + np.cos(cols / 17)) * 60 + 128 + r.integers(0, 3, (40, 192))).astype(np.uint8).tobytes()
+    local = b"".join(bytes(r.choice(r.integers(0, 256, 2), 60).astype(np.uint8)) for _ in range(128))
+    few = {n: bytes(r.choice(np.arange(65, 65 + n), 7680, p=np.r_[0.8, np.full(n - 1, 0.2 / (n - 1))]).astype(np.uint8)) for n in (2, 4, 9)}
+    text = " ".join("".join(chr(97 + c) for c in r.integers(0, 26, n)) for n in r.integers(1, 9, 600)).encode()
+    payloads = [webp.payload_of(t) for t in (smooth, local, *few.values(), text, b"", b"a" * 3000)]
+    media = [webp.store(p) for p in payloads]
+    assert [x.tobytes() for x in webp.read_many(media)] == payloads
+    assert all(webp.decode(m)[..., k].tobytes() == p for m, p in zip(media, payloads, strict=True) for k in (0, 1, 2))
+    assert all((webp.decode(m)[..., 3] == 255).all() for m in media)
+    found = [parts_of(m) for m in media]
+    assert found[0][0] == [webp.SUBTRACT, webp.PREDICTOR] and found[1][0] == [webp.SUBTRACT] and found[1][1] in webp.CACHES
+    assert [webp.PALETTE] in [x for x, _ in found[2:5]] and found[5] == ([webp.SUBTRACT], 0)
+    for m, p in zip(media, payloads, strict=True):
+        plain = webp._image(len(p) // webp.ROW, webp._green_step, np.frombuffer(p, np.uint8), 255)
+        assert len(m) <= len(plain) and (len(m) == len(plain)) == (parts_of(m) == ([webp.SUBTRACT], 0))
+
+
+def test_predictions_equal_the_decoder():
+    r = np.random.default_rng(9)
+    x = r.integers(0, 256, (5, 8)).astype(np.int16)
+    got = webp.predictions(x)
+    grey = lambda v: (255, 0, int(v), 0)
+    for mode in range(14):
+        for i in range(1, 5):
+            for j in range(1, 8):
+                want = webp._predict(mode, grey(x[i, j - 1]), grey(x[i - 1, j]), grey(x[i - 1, j - 1]), grey(x[i - 1, j + 1] if j < 7 else x[i, 0]))
+                assert got[mode, i - 1, j - 1] == want[2] and tuple(want)[0] == 255 and tuple(want)[1] == tuple(want)[3] == 0, mode
