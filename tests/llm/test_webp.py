@@ -259,3 +259,27 @@ def test_predictions_equal_the_decoder():
             for j in range(1, 8):
                 want = webp._predict(mode, grey(x[i, j - 1]), grey(x[i - 1, j]), grey(x[i - 1, j - 1]), grey(x[i - 1, j + 1] if j < 7 else x[i, 0]))
                 assert got[mode, i - 1, j - 1] == want[2] and tuple(want)[0] == 255 and tuple(want)[1] == tuple(want)[3] == 0, mode
+
+
+def test_many_values_are_written_by_words():
+    """``put_all`` writes the bits of ``put``, across words, with values of no bits and at any place; a cut prefix code is told."""
+    r = np.random.default_rng(10)
+    for n in (0, 1, 2, 700):
+        sizes = r.choice([0, 1, 3, 11, 14, 32], n)
+        values = r.integers(0, 1 << 32, n) & ((1 << sizes) - 1)
+        one, many = webp.Writer(), webp.Writer()
+        for w in (one, many):
+            w.put(5, 3)
+        for v, k in zip(values.tolist(), sizes.tolist(), strict=True):
+            one.put(v, k)
+        many.put_all(values, sizes)
+        for w in (one, many):
+            w.put(1, 2)
+        assert (one.n, one.packed()) == (many.n, many.packed())
+    lengths = webp.huffman(r.integers(1, 50, 280), webp.MAX_BITS)
+    w = webp.Writer()
+    webp.put_code(w, lengths)
+    whole = webp.read_code(webp.Bits(w.packed()), 280)
+    assert (np.bincount(whole.table, minlength=280) == 1 << (whole.bits - lengths)).all()
+    with pytest.raises(ValueError):
+        webp.read_code(webp.Bits(w.packed()[:40]), 280)

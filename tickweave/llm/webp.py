@@ -21,11 +21,11 @@ table gives no rows; other columns are ignored; a broken stream raises ValueErro
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -130,24 +130,32 @@ def read_code(b: Bits, alphabet: int) -> Code:
                 raise ValueError("symbol outside the alphabet")
             lengths[s] = 1
         return Code(lengths) if two else _lone(first)
-    meta = np.zeros(19, np.int64)
-    for k in range(4 + b.read(4)):
-        meta[LENGTH_ORDER[k]] = b.read(3)
+    meta, n = np.zeros(19, np.int64), 4 + b.read(4)
+    packed = b.read(3 * n)
+    meta[list(LENGTH_ORDER[:n])] = [packed >> 3 * k & 7 for k in range(n)]
     code = Code(meta)
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else alphabet
-    s, last = 0, 8
-    while s < alphabet and left:
+    # A length takes 14 bits at most, so four bytes hold it wherever it begins.
+    data, at, mask, symbols, sizes = b.data, b.at, (1 << code.bits) - 1, code.table.tolist(), code.size.tolist()
+    found, last = [], 8
+    while len(found) < alphabet and left:
         left -= 1
-        x = code.read(b)
+        ahead = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        x, n = symbols[ahead & mask], sizes[ahead & mask]
+        at += n
         if x < 16:
-            lengths[s] = x
-            last, s = x or last, s + 1
+            found.append(x)
+            last = x or last
             continue
-        repeat, value = (3 + b.read(2), last) if x == 16 else (3 + b.read(3), 0) if x == 17 else (11 + b.read(7), 0)
-        if s + repeat > alphabet:
-            raise ValueError("too many code lengths")
-        lengths[s : s + repeat] = value
-        s += repeat
+        least, bits, value = (3, 2, last) if x == 16 else (3, 3, 0) if x == 17 else (11, 7, 0)
+        found += [value] * (least + (ahead >> n & ((1 << bits) - 1)))
+        at += bits
+    if at > len(data) * 8:
+        raise ValueError("stream ends early")
+    if len(found) > alphabet:
+        raise ValueError("too many code lengths")
+    b.at = at
+    lengths[: len(found)] = found
     return Code(lengths)
 
 
@@ -354,9 +362,25 @@ class Writer:
         self.value |= x << self.n
         self.n += n
 
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Writes many values of 32 bits at most, one after another, by words of 64 bits."""
+        if not len(values):
+            return
+        ends = np.cumsum(sizes)
+        at = ends - sizes
+        word, shift, v = at >> 6, (at & 63).astype(np.uint64), values.astype(np.uint64)
+        # A value begins in every word up to the last begun; bits of values do not meet, so their sum holds them all.
+        edges = np.concatenate(([0], np.flatnonzero(word[1:] != word[:-1]) + 1, [len(v)]))
+        words, last = np.zeros(int(word[-1]) + 2, np.uint64), edges[1:] - 1
+        words[:-1] = np.add.reduceat(v << shift, edges[:-1])
+        words[1:] |= v[last] >> np.uint64(1) >> (np.uint64(63) - shift[last])
+        self.put(int.from_bytes(words.tobytes(), "little"), int(ends[-1]))
+
+    def packed(self) -> bytes:
+        return self.value.to_bytes((self.n + 7) // 8, "little")
+
     def bits(self) -> np.ndarray:
-        raw = np.frombuffer(self.value.to_bytes((self.n + 7) // 8, "little"), np.uint8)
-        return np.unpackbits(raw, bitorder="little")[: self.n]
+        return np.unpackbits(np.frombuffer(self.packed(), np.uint8), bitorder="little")[: self.n]
 
 
 def put_code(w: Writer, lengths: np.ndarray) -> None:
@@ -370,20 +394,19 @@ def put_code(w: Writer, lengths: np.ndarray) -> None:
         w.put(s, 8 if s > 1 else 1)
         return
     tokens = []
-    for v, run in groupby(lengths.tolist()):
-        n = len(list(run))
+    new = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    for v, n in zip(lengths[new[:-1]].tolist(), [z - a for a, z in zip(new[:-1], new[1:], strict=True)], strict=True):
         while not v and n >= 3:
             tokens.append((17, min(n, 10) - 3, 3) if n < 11 else (18, min(n, 138) - 11, 7))
             n -= min(n, 138)
         tokens += [(v, 0, 0)] * n
     meta = huffman(np.bincount([t[0] for t in tokens], minlength=19), 7)
     codes = canonical(meta)
-    last = max(k for k in range(19) if meta[LENGTH_ORDER[k]])
-    count = max(4, last + 1)
+    ordered = [meta.item(k) for k in LENGTH_ORDER]
+    count = max(4, max(k for k in range(19) if ordered[k]) + 1)
     w.put(0, 1)
     w.put(count - 4, 4)
-    for k in range(count):
-        w.put(int(meta[LENGTH_ORDER[k]]), 3)
+    w.put(sum(x << 3 * k for k, x in enumerate(ordered[:count])), 3 * count)
     w.put(0, 1)
     lone, value, at = np.count_nonzero(meta) == 1, 0, 0
     code, size = codes.tolist(), [0] * 19 if lone else meta.tolist()
@@ -416,8 +439,9 @@ def copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, far = at[far < MAX_DISTANCE], far[far < MAX_DISTANCE]
     if not len(at):
         return none, none, none
-    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (far[1:] != far[:-1])])
-    start, stop, far = at[new], at[np.r_[new[1:], len(at)] - 1] + MATCH, far[new]
+    edges = np.concatenate(([0], np.flatnonzero((at[1:] != at[:-1] + 1) | (far[1:] != far[:-1])) + 1, [len(at)]))
+    new = edges[:-1]
+    start, stop, far = at[new], at[edges[1:] - 1] + MATCH, far[new]
     start[1:] = np.maximum(start[1:], np.maximum.accumulate(stop)[:-1])  # one begins where the one before ends
     good = stop - start >= LEAST
     start, stop, far = start[good], stop[good], far[good]
@@ -530,19 +554,20 @@ def _image(height: int, put_steps, x: np.ndarray, alpha: int, cache: int = 0) ->
     codes, far_codes = canonical(lengths).astype(np.uint32), canonical(distances).astype(np.uint32)
     size = lengths if np.count_nonzero(lengths) > 1 else lengths * 0
     far_size = distances if np.count_nonzero(distances) > 1 else distances * 0
-    parts = [w.bits()]
-    # Four items to a copy (length, its extra bits, distance, its extra bits) stand behind the literals before it.
     items, bits = codes[plain], size[plain]
     if len(start):
-        behind = np.repeat(np.cumsum(literal)[start], 4)
-        items = np.insert(items, behind, np.stack([codes[256 + ls], lx, far_codes[ds], dx], axis=1).reshape(-1))
-        bits = np.insert(bits, behind, np.stack([size[256 + ls], ln, far_size[ds], dn], axis=1).reshape(-1))
+        # Four items to a copy (length, its extra bits, distance, its extra bits) stand behind the literals before it.
+        behind = start - (np.cumsum(length) - length) + 4 * np.arange(len(start))
+        is_plain = np.ones(len(plain) + 4 * len(start), bool)
+        places = np.stack([behind, behind + 1, behind + 2, behind + 3])
+        is_plain[places] = False
+        merged, widths = np.empty(len(is_plain), np.int64), np.empty(len(is_plain), np.int64)
+        merged[is_plain], widths[is_plain] = items, bits
+        merged[places], widths[places] = [codes[256 + ls], lx, far_codes[ds], dx], [size[256 + ls], ln, far_size[ds], dn]
+        items, bits = merged, widths
     for k in range(0, len(items), 500_000):
-        v, n = items[k : k + 500_000], bits[k : k + 500_000]
-        ends = np.cumsum(n)
-        place = np.arange(ends[-1], dtype=np.uint32) - np.repeat((ends - n).astype(np.uint32), n)
-        parts.append((np.repeat(v, n) >> place & np.uint32(1)).astype(np.uint8))
-    return _file(np.packbits(np.concatenate(parts), bitorder="little").tobytes())
+        w.put_all(items[k : k + 500_000], bits[k : k + 500_000])
+    return _file(w.packed())
 
 
 def _green_step(w: Writer) -> None:
@@ -755,8 +780,11 @@ def read_many(media: list[bytes]) -> list[np.ndarray]:
 
 def feature(x: np.ndarray) -> str:
     """Mean, spread and distinct samples, and the share of rising steps, of the samples read back."""
-    rising = float((x[1:] > x[:-1]).mean()) if len(x) > 1 else 0.0
-    return f"{x.mean():.4f}|{x.std():.4f}|{np.count_nonzero(np.bincount(x, minlength=256))}|{rising:.4f}"
+    rising = np.count_nonzero(x[1:] > x[:-1]) / (len(x) - 1) if len(x) > 1 else 0.0
+    counts, value = np.bincount(x, minlength=256), np.arange(256)
+    total, squares = int((counts * value).sum()), int((counts * value * value).sum())
+    spread = math.sqrt(len(x) * squares - total * total) / len(x)
+    return f"{total / len(x):.4f}|{spread:.4f}|{np.count_nonzero(counts)}|{rising:.4f}"
 
 
 def payload_of(text: bytes) -> bytes:
